@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chunkwright.llm import sql
 from chunkwright.llm.canonical import canonicalize, same_reading
+from chunkwright.llm.mixing import mix_report
+from chunkwright.llm.packing import containers, pack
 from chunkwright.llm.pairs import class_pairs
+from chunkwright.llm.split import split_chunks, split_oversized
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +20,32 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = split_oversized(_table(spark, folder, "chunks").select("chunk_no", "text"))
+    return pieces.where("piece_total > 1 AND piece_index = 0").select("chunk_no")
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = split_chunks(_table(spark, folder, "chunks").select("chunk_no", "text", "source_document", "section_path", "chunk_index"))
+    return pieces.select("chunk_no", "source_document", "section_path", "chunk_index", "chunk_total", "piece_index", "piece_total", "added_start", "text")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_table(spark, folder, "documents").select("doc_id", "text")).where("piece_total > 1 AND piece_index = 0").select("doc_id")
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return containers(pack(_table(spark, folder, "documents").select("doc_id", "text")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_shares(spark, folder).where("short").select("source")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_report(_table(spark, folder, "documents").select("doc_id", "text", "source"), _table(spark, folder, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     classes = same_reading(_table(spark, folder, "documents"))
     return class_pairs(classes, "doc_id", differ="variant")
