@@ -29,3 +29,19 @@ def with_key_totals(df: DataFrame, keys: Sequence[str], spread: str, sums: dict[
     whole = Window.partitionBy(*keys)
     totals = local.select(*keys, "_salt", *[F.sum(c).over(whole).alias(c) for c in sums])
     return salted.join(totals.hint("shuffle_hash"), [*keys, "_salt"]).drop("_salt")
+
+
+def grouped_with_totals(df: DataFrame, keys: Sequence[str], member: str, aggs: dict[str, Column], sums: dict[str, Column], salts: int = SALTS) -> DataFrame:
+    """(keys, member, aggs, sums): rows grouped by key and member, each group with totals over all members of its key.
+
+    ``aggs`` are taken over the rows of a key and member, ``sums`` are expressions over
+    their results that are summed for each key. One exchange, by key and salt of the member,
+    serves the grouping, the sums of each salt and the way back of the totals; only the sums
+    (``salts`` at most for a key) move once more. Rows with a null key don't come out.
+    """
+    salted = df.withColumn("_salt", salt(F.col(member), salts)).repartition(*keys, "_salt")
+    grouped = salted.groupBy(*keys, "_salt", member).agg(*[e.alias(c) for c, e in aggs.items()])
+    local = grouped.groupBy(*keys, "_salt").agg(*[F.sum(e).alias(c) for c, e in sums.items()])
+    whole = Window.partitionBy(*keys)
+    totals = local.select(*keys, "_salt", *[F.sum(c).over(whole).alias(c) for c in sums])
+    return grouped.join(totals.hint("shuffle_hash"), [*keys, "_salt"]).drop("_salt")
