@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,19 +15,20 @@ def salt(spread: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
 
 
-def with_key_totals(df: DataFrame, keys: Sequence[str], spread: str, sums: dict[str, Column], salts: int = SALTS) -> DataFrame:
+def with_key_totals(df: DataFrame, keys: Sequence[str], spread: str, sums: dict[str, Column], salts: int = SALTS, combine: Callable[[Column], Column] = F.sum) -> DataFrame:
     """Every row of ``df`` with totals over all rows of its key.
 
-    ``sums`` maps a new column to the expression that is summed. The rows are partitioned
+    ``sums`` maps a new column to the expression that is summed (or otherwise combined, by
+    a function like F.min that may be applied to its own results). The rows are partitioned
     once, by key and salt. Each salt is summed where it lies, the few sums of a key
     (``salts`` at most) are added up, and the totals return to the same partitions, so
     neither the aggregation nor the join brings a hot key's rows together.
     Keys must not be null: rows with a null key don't come out.
     """
     salted = df.withColumn("_salt", salt(F.col(spread), salts)).repartition(*keys, "_salt")
-    local = salted.groupBy(*keys, "_salt").agg(*[F.sum(e).alias(c) for c, e in sums.items()])
+    local = salted.groupBy(*keys, "_salt").agg(*[combine(e).alias(c) for c, e in sums.items()])
     whole = Window.partitionBy(*keys)
-    totals = local.select(*keys, "_salt", *[F.sum(c).over(whole).alias(c) for c in sums])
+    totals = local.select(*keys, "_salt", *[combine(c).over(whole).alias(c) for c in sums])
     return salted.join(totals.hint("shuffle_hash"), [*keys, "_salt"]).drop("_salt")
 
 
