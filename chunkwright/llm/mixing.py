@@ -164,5 +164,5 @@ def mix_report(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     out = base.join(reached, "source", "left").withColumn("reached_size", F.coalesce("_reached", F.lit(0)))
     whole = F.lit(float(plan.total or 1))
     # the mixture falls short by more than a block's rounding only where the exact rule says so
-    missing = F.col("reached_size") * 1000 < F.col("target_permille") * F.lit(plan.total)
+    missing = F.col("reached_size") * 1000 < F.col("target_permille").cast("bigint") * F.lit(plan.total)
     return out.select("source", "target_permille", "max_repeats", "source_size", "reached_size", F.round(F.col("reached_size") * 1000 / whole, 4).alias("reached_permille"), (missing & F.col("_rule")).alias("short"))
