@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chunkwright.llm import sql
 from chunkwright.llm.canonical import canonicalize, same_reading
+from chunkwright.llm.freq import term_frequencies
+from chunkwright.llm.lines import repeated_lines, without_repeated_lines
 from chunkwright.llm.mixing import mix_report
+from chunkwright.llm.neardup import NearDuplicates
 from chunkwright.llm.packing import containers, pack
 from chunkwright.llm.pairs import class_pairs
 from chunkwright.llm.split import split_chunks, split_oversized
+from chunkwright.llm.terms import log_entropy
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +35,43 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("chunk_no", "source_document", "section_path", "chunk_index", "chunk_total", "piece_index", "piece_total", "added_start", "text")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    scored = log_entropy(_table(spark, folder, "chunks").select("chunk_no", "text"))
+    return scored.where("tf >= 4 AND df BETWEEN 2 AND 12").select("chunk_no", "term")
+
+
+def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = log_entropy(_table(spark, folder, "chunks").select("chunk_no", "text"))
+    return scored.select("chunk_no", "term", "tf", "df", F.round("score", 6).alias("score"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = NearDuplicates(_table(spark, folder, "chunks").select("chunk_no", "text")).pairs()
+    return found.select(F.col("a").alias("chunk_no_a"), F.col("b").alias("chunk_no_b"))
+
+
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    groups = NearDuplicates(_table(spark, folder, "chunks").select("chunk_no", "text")).groups()
+    return groups.select(F.col("key").alias("chunk_no"), F.col("group_key").alias("group_no"), "links")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return term_frequencies(_table(spark, folder, "chunks").select("chunk_no", "text")).where("mark != 'useful'").select("term")
+
+
+def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return term_frequencies(_table(spark, folder, "chunks").select("chunk_no", "text"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    lines = repeated_lines(_table(spark, folder, "chunks").select("chunk_no", "text", "source_document"))
+    return lines.select("chunk_no", F.col("line_no").cast("bigint").alias("line_no"))
+
+
+def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeated_lines(_table(spark, folder, "chunks").select("chunk_no", "text", "source_document")).select("chunk_no", "text", "lines_removed")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents").select("doc_id", "text")).where("piece_total > 1 AND piece_index = 0").select("doc_id")
 
