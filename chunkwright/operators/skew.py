@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 SALTS = 32
 
 
+def _dealt(df: DataFrame, keys: Sequence[str], spread: str, salts: int) -> DataFrame:
+    """``df`` partitioned by keys and ``_salt``. Null keys go here: a join above would filter them out of its own branch only, and the two branches could then not share the exchange."""
+    salted = df.withColumn("_salt", salt(F.col(spread), salts))
+    for c in [*keys, "_salt"]:
+        salted = salted.where(F.col(c).isNotNull())
+    return salted.repartition(*keys, "_salt")
+
+
 def salt(spread: Column, salts: int = SALTS) -> Column:
     """A number below ``salts`` that depends on ``spread`` only, so that a retried task draws the same."""
     return F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
@@ -25,7 +33,7 @@ def with_key_totals(df: DataFrame, keys: Sequence[str], spread: str, sums: dict[
     neither the aggregation nor the join brings a hot key's rows together.
     Keys must not be null: rows with a null key don't come out.
     """
-    salted = df.withColumn("_salt", salt(F.col(spread), salts)).repartition(*keys, "_salt")
+    salted = _dealt(df, keys, spread, salts)
     local = salted.groupBy(*keys, "_salt").agg(*[combine(e).alias(c) for c, e in sums.items()])
     whole = Window.partitionBy(*keys)
     totals = local.select(*keys, "_salt", *[combine(c).over(whole).alias(c) for c in sums])
@@ -40,7 +48,7 @@ def grouped_with_totals(df: DataFrame, keys: Sequence[str], member: str, aggs: d
     serves the grouping, the sums of each salt and the way back of the totals; only the sums
     (``salts`` at most for a key) move once more. Rows with a null key don't come out.
     """
-    salted = df.withColumn("_salt", salt(F.col(member), salts)).repartition(*keys, "_salt")
+    salted = _dealt(df, keys, member, salts)
     grouped = salted.groupBy(*keys, "_salt", member).agg(*[e.alias(c) for c, e in aggs.items()])
     local = grouped.groupBy(*keys, "_salt").agg(*[F.sum(e).alias(c) for c, e in sums.items()])
     whole = Window.partitionBy(*keys)
