@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chunkwright.llm import sql
 from chunkwright.llm.canonical import canonicalize, same_reading
 from chunkwright.llm.freq import term_frequencies
+from chunkwright.llm.knn import nearest, similar_pairs
 from chunkwright.llm.lines import repeated_lines, without_repeated_lines
 from chunkwright.llm.mixing import mix_report
 from chunkwright.llm.neardup import NearDuplicates
@@ -37,7 +38,7 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     scored = log_entropy(_table(spark, folder, "chunks").select("chunk_no", "text"))
-    return scored.where("tf >= 4 AND df BETWEEN 2 AND 12").select("chunk_no", "term")
+    return scored.where("tf >= 4 AND df BETWEEN 2 AND 12 AND score IS NOT NULL").select("chunk_no", "term")
 
 
 def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,6 +46,16 @@ def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("chunk_no", "term", "tf", "df", F.round("score", 6).alias("score"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = similar_pairs(_table(spark, folder, "chunks").select("chunk_no", "embedding"), 0.9)
+    return pairs.select(F.col("a").alias("chunk_no_a"), F.col("b").alias("chunk_no_b"))
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    near = nearest(_table(spark, folder, "chunks").select("chunk_no", "embedding"))
+    return near.select(F.col("key").alias("chunk_no"), F.col("neighbour").alias("neighbour_no"), F.round("cosine", 3).alias("cosine"), "rank")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     found = NearDuplicates(_table(spark, folder, "chunks").select("chunk_no", "text")).pairs()
     return found.select(F.col("a").alias("chunk_no_a"), F.col("b").alias("chunk_no_b"))
