@@ -1 +1 @@
-"""Plans."""
+"""Whole plans: searches, the service, the registered queries."""

@@ -1 +1 @@
-"""Sources."""
+"""Reading documents and keeping chunks."""

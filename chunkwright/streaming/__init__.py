@@ -1 +1 @@
-"""Streaming."""
+"""Indexing from streams."""
