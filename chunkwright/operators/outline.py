@@ -92,10 +92,10 @@ def flattened(bookmarks: DataFrame, max_depth: int = 1, skip_pages: int = 0) ->
     named = once.select("document", "ord", F.trim("title").alias("title"), "level", F.coalesce("page", F.lit(1)).alias("page"), F.concat(F.coalesce("parent_titles", F.array().cast("array<string>")), F.array(F.trim("title"))).alias("_path"))
     kept = named.where((F.col("level") <= max_depth) & (F.col("page") > skip_pages))
     if skip_pages:
-        skipped = named.where(F.col("page") <= skip_pages).select(F.col("document").alias("_d"), F.col("_path").alias("_p")).distinct()
+        skipped = named.where(F.col("page") <= skip_pages).select(F.col("document").alias("_d"), F.col("_path").alias("_gone")).distinct()
         # an ancestor's path is a beginning of its descendants' paths
         above = kept.withColumn("_p", F.explode(F.transform(F.sequence(F.lit(1), F.size("_path")), lambda i: F.slice("_path", F.lit(1), i))))
-        below = above.join(skipped, (F.col("document") == F.col("_d")) & (F.col("_p") == skipped["_p"]), "left_semi").select("document", "ord").distinct()
+        below = above.join(skipped, (F.col("document") == F.col("_d")) & (F.col("_p") == F.col("_gone")), "left_semi").select("document", "ord").distinct()
         kept = kept.join(below, ["document", "ord"], "left_anti")
     place = Window.partitionBy("document").orderBy("page", "level", "ord", "title")
     return kept.select("document", (F.row_number().over(place) - 1).cast("bigint").alias("ord"), "title", F.array_join("_path", " > ").alias("full_title"), "level", "page")

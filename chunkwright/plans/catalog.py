@@ -4,14 +4,464 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chunkwright.functions import text as tx
+from chunkwright.functions import vector as vx
+from chunkwright.operators import bm25, chunking, layout, outline, rerank, stopwords
+from chunkwright.operators.dense import dense_top_k
+from chunkwright.operators.embed import embed_chunks, hashing_embedder
+from chunkwright.operators.expand import PLACE, chunks_at, expand, neighbour_places
+from chunkwright.operators.fusion import branch_budgets
+from chunkwright.plans import oracles
+from chunkwright.plans.search import contexts, hybrid_top_k, search
+from chunkwright.schema import Config, Scoring
+from chunkwright.sources.store import from_payload, to_payload, upserted
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+
+
+def _registered(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def words(spark: SparkSession, folder: str) -> DataFrame:
+    """A layout for documents: a word for each run between spaces, 40 lines a page, line 0 in 18 points, every tenth bold in 14, the others in 10."""
+    lines = table(spark, folder, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("document"), F.posexplode(F.split("text", "\n")).alias("line", "_line"))
+    each = lines.select("document", "line", F.posexplode(F.split("_line", " ")).alias("at", "text")).where("text != ''")
+    line = F.col("line")
+    size = F.when(line == 0, 18.0).when(line % 10 == 0, 14.0).otherwise(10.0)
+    top = 800.0 - (line % 40) * F.when(line % 7 == 0, 18.0).otherwise(17.0)
+    return each.select("document", (line.cast("bigint") * 100_000 + F.col("at")).alias("ord"), (F.floor(line / 40) + 1).cast("int").alias("page"), "text", F.when(line % 10 == 0, "Serif-Bold").otherwise("Serif").alias("font_name"), size.alias("font_size"), F.lit("default").alias("color_key"), ((line % 10 == 0) & (line > 0)).alias("is_bold"), F.lit(False).alias("is_italic"), top.alias("top"), (top - 12.0).alias("bottom"))
+
+
+# ---- dense ----
+
+
+@_registered
+def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
+    found = dense_top_k(table(spark, folder, "chunks"), table(spark, folder, "queries"), "chunk_no", 10)
+    return found.select("query_id", "chunk_no", "score", "rank")
+
+
+flagship = dense_topk
+
+
+@_registered
+def l2_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    usable = table(spark, folder, "chunks").where(vx.is_usable(F.col("embedding"), 64))
+    unit = vx.unit(F.col("embedding"))
+    return usable.select("chunk_no", F.round(F.element_at(unit, 1), 5).alias("first"), F.round(F.element_at(unit, 64), 5).alias("last"), F.round(vx.norm(unit), 5).alias("norm"))
+
+
+@_registered
+def cosine_to_next(spark: SparkSession, folder: str) -> DataFrame:
+    usable = table(spark, folder, "chunks").where(vx.is_usable(F.col("embedding"), 64)).select("chunk_no", "embedding")
+    after = usable.select((F.col("chunk_no") - 1).alias("chunk_no"), F.col("embedding").alias("_next"))
+    return usable.join(after, "chunk_no").select("chunk_no", F.round(vx.cosine(F.col("embedding"), F.col("_next")), 5).alias("cosine"), F.round(vx.dot(F.col("embedding"), F.col("_next")), 4).alias("dot"))
+
+
+# ---- terms and BM25 ----
+
+
+@_registered
+def tokenize_counts(spark: SparkSession, folder: str) -> DataFrame:
+    t = tx.terms(F.col("text"))
+    return table(spark, folder, "chunks").where("text IS NOT NULL").select("chunk_no", F.size(t).cast("bigint").alias("n_terms"), F.size(F.array_distinct(t)).cast("bigint").alias("n_distinct"), tx.size_tokens(F.col("text")).alias("n_bytes"))
+
+
+@_registered
+def term_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25.term_frequencies(table(spark, folder, "chunks"), "chunk_no")
+
+
+@_registered
+def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25.term_stats(bm25.term_frequencies(table(spark, folder, "chunks"), "chunk_no"))
+
+
+@_registered
+def merged_document_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks")
+    early, late = chunks.where("chunk_index = 0"), chunks.where("chunk_index != 0 OR chunk_index IS NULL")
+    return bm25.merged_stats(*[bm25.term_stats(bm25.term_frequencies(part, "chunk_no")) for part in (early, late)])
+
+
+@_registered
+def corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25.corpus_stats(table(spark, folder, "chunks"), "chunk_no").select("total_docs", "total_len", F.round("average_len", 6).alias("average_len"))
+
+
+@_registered
+def unique_terms(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25.term_stats(bm25.term_frequencies(table(spark, folder, "chunks"), "chunk_no")).agg(F.count("*").alias("n_terms"))
+
+
+@_registered
+def term_index_md5(spark: SparkSession, folder: str) -> DataFrame:
+    stats = bm25.term_stats(bm25.term_frequencies(table(spark, folder, "documents"), "doc_id"))
+    return stats.select("term", tx.term_index(F.col("term")).alias("index"))
+
+
+@_registered
+def bm25_weights(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks")
+    tf = bm25.term_frequencies(chunks, "chunk_no")
+    weights = bm25.document_weights(tf, bm25.term_stats(tf), bm25.corpus_stats(chunks, "chunk_no"), "chunk_no")
+    return weights.select("chunk_no", "term", F.round("weight", 6).alias("weight"))
+
+
+@_registered
+def tf_only_weights(spark: SparkSession, folder: str) -> DataFrame:
+    weights = bm25.tf_weights(bm25.term_frequencies(table(spark, folder, "chunks"), "chunk_no"), "chunk_no", 400.0)
+    return weights.select("chunk_no", "term", F.round("weight", 6).alias("weight"))
+
+
+@_registered
+def sparse_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    weights = bm25.tf_weights(bm25.term_frequencies(table(spark, folder, "chunks"), "chunk_no"), "chunk_no", 400.0)
+    wide = bm25.sparse_vectors(weights, "chunk_no")
+    entries = F.transform("entries", lambda e: e["index"].cast("string"))
+    return wide.select("chunk_no", F.size("entries").cast("bigint").alias("n"), F.array_join(entries, ",").alias("indices"), F.round(F.aggregate("entries", F.lit(0.0), lambda s, e: s + e["value"]), 3).alias("total"))
+
+
+def _bm25(spark: SparkSession, folder: str, scoring: Scoring) -> DataFrame:
+    scores = bm25.bm25_scores(table(spark, folder, "chunks"), table(spark, folder, "queries"), "chunk_no", scoring)
+    return bm25.top_k(scores, 20, "query_id", "chunk_no").select("query_id", "chunk_no", "score", "rank")
+
+
+@_registered
+def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _bm25(spark, folder, Scoring.CLASSIC)
+
+
+@_registered
+def bm25_topk_live_idf(spark: SparkSession, folder: str) -> DataFrame:
+    return _bm25(spark, folder, Scoring.LIVE_IDF)
+
+
+@_registered
+def bm25_topk_idf_squared(spark: SparkSession, folder: str) -> DataFrame:
+    return _bm25(spark, folder, Scoring.IDF_SQUARED)
+
+
+# ---- fusion and expansion ----
+
+
+@_registered
+def prefetch_budgets(spark: SparkSession, folder: str) -> DataFrame:
+    rows = [(k, w, *branch_budgets(k, w)) for k in (1, 3, 5, 10, 20, 50) for w in (0.0, 0.25, 0.5, 0.6, 0.7, 0.9, 1.0)]
+    return spark.createDataFrame(rows, "k int, dense_weight double, n_dense int, n_sparse int")
+
+
+@_registered
+def hybrid_rrf_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return hybrid_top_k(table(spark, folder, "chunks"), table(spark, folder, "queries"), "chunk_no", 10).select("query_id", "chunk_no", "score", "rank")
+
+
+def _stored_hits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The three best of each query in reranked as hits, with the chunks they are."""
+    chunks = table(spark, folder, "chunks")
+    one = chunks.groupBy(*PLACE).agg(F.min("chunk_no").alias("chunk_no"), F.max("chunk_total").alias("chunk_total"))
+    best = table(spark, folder, "reranked").where("new_rank <= 3").groupBy("query_id", *PLACE).agg(F.min("new_rank").alias("rank"))
+    return best.join(one, list(PLACE)), chunks
+
+
+@_registered
+def adjacent_places(spark: SparkSession, folder: str) -> DataFrame:
+    hits, _ = _stored_hits(spark, folder)
+    return neighbour_places(hits, 2).select("query_id", *PLACE, "rank")
+
+
+@_registered
+def adjacent_expand(spark: SparkSession, folder: str) -> DataFrame:
+    hits, chunks = _stored_hits(spark, folder)
+    return expand(hits, chunks, 1, key="chunk_no")
+
+
+@_registered
+def get_chunks_by_indices(spark: SparkSession, folder: str) -> DataFrame:
+    return chunks_at(table(spark, folder, "chunks"), "Corvane Platform Reference.pdf", [0, 2, 5]).select("chunk_no", "section_path", "chunk_index")
+
+
+# ---- text of chunks and results ----
+
+
+@_registered
+def embedding_text(spark: SparkSession, folder: str) -> DataFrame:
+    text = tx.embedding_text(*[F.col(c) for c in ("source_document", "section_path", "section", "text")])
+    return table(spark, folder, "chunks").select("chunk_no", text.alias("embedding_text"))
+
+
+@_registered
+def context_block(spark: SparkSession, folder: str) -> DataFrame:
+    best = table(spark, folder, "reranked").dropDuplicates().where("new_rank <= 5").select("query_id", "id", "new_rank")
+    chunks = table(spark, folder, "chunks")
+    newest = chunks.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("chunk_no")))).where("_n = 1")
+    return contexts(best.join(newest, "id"), table(spark, folder, "queries"))
+
+
+@_registered
+def blank_pruning(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "chunks").where(~tx.has_ink(F.col("text"))).select("chunk_no", F.col("text").isNull().alias("is_null"))
+
+
+@_registered
+def section_text(spark: SparkSession, folder: str) -> DataFrame:
+    return chunking.section_text(table(spark, folder, "sections")).select("section_no", "text")
+
+
+@_registered
+def section_pages(spark: SparkSession, folder: str) -> DataFrame:
+    pages = F.transform("page_texts", lambda p: p["page_number"])
+    rows = table(spark, folder, "sections").where(F.size("page_texts") > 0)
+    return rows.select("section_no", F.array_min(pages).alias("first_page"), F.array_max(pages).alias("last_page"), tx.page_list(pages).alias("pages"))
+
+
+@_registered
+def metadata_values(spark: SparkSession, folder: str) -> DataFrame:
+    value = lambda k, default: F.coalesce(F.try_element_at("metadata", F.lit(k)), F.lit(default))
+    return table(spark, folder, "chunks").select("chunk_no", value("ChunkType", "none").alias("chunk_type"), value("BookmarkLevel", "0").cast("int").alias("bookmark_level"), value("Pages", "").alias("pages"))
+
+
+@_registered
+def payload_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks")
+    back = from_payload(to_payload(chunks.withColumn("id", F.concat_ws("#", "id", "chunk_no"))))
+    return back.select("id", "source_document", "start_page", "end_page", "chunk_index", "chunk_total", "section", "section_path", F.length("text").cast("bigint").alias("n_chars"), F.size("metadata").cast("bigint").alias("n_metadata"))
+
+
+# ---- rerank ----
+
+
+def _scored(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "reranked").dropDuplicates().select("query_id", "id", "relevance_score", "original_rank")
+
+
+@_registered
+def rerank_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return rerank.ranked(_scored(spark, folder)).where("new_rank <= 5")
+
+
+@_registered
+def rerank_threshold(spark: SparkSession, folder: str) -> DataFrame:
+    return rerank.rerank_above(_scored(spark, folder), 5)
+
+
+@_registered
+def rerank_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    return rerank.fallback(_scored(spark, folder).drop("relevance_score"), 5)
+
+
+@_registered
+def rerank_overlap_topk(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").groupBy("id").agg(F.max_by("text", "chunk_no").alias("text"))
+    pairs = _scored(spark, folder).drop("relevance_score").join(chunks, "id").join(table(spark, folder, "queries").select("query_id", F.col("text").alias("_query")), "query_id")
+    best = rerank.rerank(pairs, 5, F.round(rerank.overlap_score(F.col("_query"), F.col("text")), 6))
+    return best.select("query_id", "id", "original_rank", "relevance_score", "new_rank")
+
+
+@_registered
+def sigmoid_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scored = _scored(spark, folder).where("relevance_score IS NOT NULL")
+    return scored.select("query_id", "id", "original_rank", F.round(vx.sigmoid(F.col("relevance_score") - 5) * 10, 6).alias("score"), F.round(vx.yes_probability(F.col("relevance_score"), F.lit(5.0)), 6).alias("yes"))
+
+
+def _answers(spark: SparkSession, folder: str) -> DataFrame:
+    """A judge's answer for each query: whole, fenced, short of one, or broken, by the query's number."""
+    scored = _scored(spark, folder).where("relevance_score IS NOT NULL")
+    entry = F.struct((F.col("original_rank") - 1).alias("id"), F.round("relevance_score", 1).alias("score"))
+    lists = scored.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_s"), F.count("*").cast("int").alias("n"))
+    plain = F.to_json("_s")
+    kind = F.col("query_id") % 4
+    content = F.when(kind == 0, plain).when(kind == 1, F.concat(F.lit("```json\n"), plain, F.lit("\n```"))).when(kind == 2, F.to_json(F.slice("_s", F.lit(1), F.greatest(F.size("_s") - 1, F.lit(0))))).otherwise(F.concat(F.lit("Sure: "), plain))
+    return lists.select("query_id", "n", content.alias("content"))
+
+
+@_registered
+def llm_score_parse(spark: SparkSession, folder: str) -> DataFrame:
+    parsed = _answers(spark, folder).withColumn("scores", rerank.judged_scores(F.col("content"), F.col("n")))
+    return parsed.select("query_id", F.posexplode("scores").alias("position", "score"))
+
+
+# ---- index maintenance ----
+
+
+@_registered
+def upsert_by_id(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "chunks").select("id", "chunk_no", "text")
+    old, new = chunks.where("chunk_no % 2 = 0"), chunks.where("chunk_no % 2 = 1").withColumn("_ord", F.col("chunk_no"))
+    # rows of the even half stand for what is stored, each under its last id
+    stored = upserted(old.limit(0), old.withColumn("_ord", F.col("chunk_no")))
+    return upserted(stored, new).select("id", "chunk_no", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@_registered
+def delete_document(spark: SparkSession, folder: str) -> DataFrame:
+    left = table(spark, folder, "chunks").where(~F.col("source_document").eqNullSafe(F.lit("Corvane Platform Reference.pdf")))
+    return left.groupBy("source_document").agg(F.count("*").alias("n_chunks"), F.countDistinct("id").alias("n_ids"))
+
+
+@_registered
+def chunks_by_document(spark: SparkSession, folder: str) -> DataFrame:
+    files = table(spark, folder, "source_files").select("source_document", "strategy", "page_count")
+    counted = table(spark, folder, "chunks").groupBy("source_document").agg(F.count("*").alias("n_chunks"), F.countDistinct("section_path").alias("n_sections"), F.min("start_page").alias("first_page"), F.max("end_page").alias("last_page"))
+    return files.join(counted, "source_document", "left")
+
+
+# ---- stop words ----
+
+
+@_registered
+def stopword_filter(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", "lang", F.explode(tx.terms(F.col("text"))).alias("term"))
+    return stopwords.without_stop_words(rows).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.countDistinct("term").alias("n_distinct"))
+
+
+@_registered
+def stopword_algebra(spark: SparkSession, folder: str) -> DataFrame:
+    en = stopwords.words("en")
+    lists = {"english": en, "extended": stopwords.words("en-extended"), "combined": stopwords.combined(en[:5], stopwords.words("de")[:5], stopwords.words("fr")[:5]), "excluded": stopwords.excluded(en, "THE", "and", "is"), "more": stopwords.extended(["word1", "word2"], "word2", "word3")}
+    return spark.createDataFrame([(name, i, w) for name, ws in lists.items() for i, w in enumerate(ws)], "list string, at int, word string")
+
+
+# ---- layout ----
+
+
+@_registered
+def body_font_mode(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.body_font_size(words(spark, folder))
+
+
+@_registered
+def font_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = layout.font_sizes(words(spark, folder))
+    return sizes.select("document", F.round("average", 6).alias("average"), "largest", "smallest")
+
+
+@_registered
+def heading_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    found = layout.heading_sizes(words(spark, folder))
+    return found.select("document", "body_size", F.array_join(F.transform("sizes", lambda s: F.format_string("%.1f", s)), ",").alias("sizes"))
+
+
+@_registered
+def heading_levels(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.heading_levels(words(spark, folder)).groupBy("document", "heading_level").agg(F.count("*").alias("n_words"))
+
+
+@_registered
+def line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.line_breaks(words(spark, folder)).groupBy("document", "page").agg(F.count_if(F.col("separator") == "\n").alias("n_breaks"), F.count_if(F.col("separator") == " ").alias("n_spaces"))
+
+
+@_registered
+def page_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return layout.page_texts(words(spark, folder))
+
+
+@_registered
+def simple_sections(spark: SparkSession, folder: str) -> DataFrame:
+    found = layout.simple_sections(words(spark, folder), skip_pages=1)
+    return found.select("document", "start_page", "end_page", F.size("page_texts").cast("bigint").alias("n_pages"), F.array_join(F.transform("page_texts", lambda p: p["text"]), " ").alias("text"))
+
+
+@_registered
+def sections_by_format(spark: SparkSession, folder: str) -> DataFrame:
+    found = layout.format_sections(words(spark, folder), max_depth=2)
+    return found.select("document", "section_ord", "heading", "heading_path", "heading_font_size", "heading_is_bold", "level", "start_page", "end_page", F.array_join(F.transform("page_texts", lambda p: p["text"]), "\f").alias("text"))
+
+
+@_registered
+def color_keys(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "sections").select("section_no", F.element_at(F.array(*[F.lit(s) for s in ("rgb", "gray", "cmyk", "other")]), (F.col("section_no") % 4 + 1).cast("int")).alias("_space"))
+    n = F.col("section_no").cast("double")
+    parts = F.when(F.col("_space") == "rgb", F.array(n % 8 / 8, n % 4 / 4, n % 2 / 2)).when(F.col("_space") == "gray", F.array(n % 4 / 4)).otherwise(F.array(n % 2 / 2, n % 4 / 4, n % 8 / 8, n % 2 / 4))
+    return rows.select("section_no", tx.color_key(F.col("_space"), parts).alias("color_key"))
+
+
+@_registered
+def font_styles(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.col("heading")
+    return table(spark, folder, "sections").select("section_no", tx.is_bold_font(name).alias("bold"), tx.is_italic_font(name).alias("italic"), tx.spaces_normalized(name).alias("heading"))
+
+
+# ---- outline ----
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The sections' pages as a document's pages, each headed by the titles of its bookmarks."""
+    parts = table(spark, folder, "sections").select("document", F.posexplode("page_texts").alias("_i", "_p"), "section_ord", "heading")
+    shown = parts.select("document", F.col("_p.page_number").alias("page"), F.struct("section_ord", "_i", F.concat_ws("\n", F.when(F.col("_i") == 0, F.col("heading")), F.col("_p.text")).alias("text")).alias("_s"))
+    whole = shown.groupBy("document", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["text"]), "\n").alias("text_lines"))
+    return whole.select("document", "page", tx.spaces_normalized(F.col("text_lines")).alias("text_spaced"), "text_lines")
+
+
+@_registered
+def bookmark_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return outline.flattened(table(spark, folder, "bookmarks"), max_depth=3, skip_pages=2)
+
+
+@_registered
+def next_bookmark(spark: SparkSession, folder: str) -> DataFrame:
+    flat = outline.flattened(table(spark, folder, "bookmarks"), max_depth=3)
+    w = Window.partitionBy("document").orderBy("ord")
+    return flat.select("document", "ord", "title", "page", F.lead("title").over(w).alias("next_title"), F.lead("page").over(w).alias("next_page"))
+
+
+@_registered
+def fuzzy_heading(spark: SparkSession, folder: str) -> DataFrame:
+    return outline.located(outline.flattened(table(spark, folder, "bookmarks"), max_depth=3), _pages(spark, folder)).select("document", "ord", "title", "start_page", "start", "content")
+
+
+@_registered
+def bookmark_sections(spark: SparkSession, folder: str) -> DataFrame:
+    found = outline.outline_sections(table(spark, folder, "bookmarks"), _pages(spark, folder), max_depth=3)
+    return found.select("document", "section_ord", "heading", "heading_path", "level", "start_page", "end_page", F.array_join(F.transform("page_texts", lambda p: p["text"]), " ").alias("text"))
+
+
+# ---- chunks, embeddings, whole searches ----
+
+
+@_registered
+def chunk_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    made = chunking.chunk_sections(table(spark, folder, "sections").drop("section_no"))
+    return made.withColumn("metadata", F.to_json("metadata"))
+
+
+@_registered
+def embedded_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    made = embed_chunks(table(spark, folder, "chunks"), lambda: hashing_embedder(64))
+    return made.select("chunk_no", F.round(vx.norm(F.col("embedding")), 4).alias("norm"))
+
+
+@_registered
+def search_documents_e2e(spark: SparkSession, folder: str) -> DataFrame:
+    return _searched(spark, folder).select("query_id", "chunk_no", "original_rank", F.round("relevance_score", 6).alias("relevance_score"), "new_rank")
+
+
+@_registered
+def search_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    return contexts(_searched(spark, folder), table(spark, folder, "queries"))
+
+
+def _searched(spark: SparkSession, folder: str) -> DataFrame:
+    chunks, queries = table(spark, folder, "chunks"), table(spark, folder, "queries")
+    scored = lambda q, t: F.round(rerank.overlap_score(q, t), 6)
+    return search(chunks, queries.select("query_id", "text", "vec"), "chunk_no", Config(), score=scored)
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()

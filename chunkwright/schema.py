@@ -7,21 +7,28 @@ from enum import Enum
 
 from pyspark.sql import types as T
 
-CHUNK = T.StructType.fromDDL(
-    "id string, text string, embedding array<float>, source_document string, start_page int, end_page int, "
-    "chunk_index int, chunk_total int, section string, section_path string, metadata map<string,string>"
-)
-SECTION = T.StructType.fromDDL(
-    "document string, section_ord int, heading string, heading_path string, heading_font_size double, heading_is_bold boolean, "
-    "level int, start_page int, end_page int, page_texts array<struct<page_number:int,text:string>>"
-)
-WORD = T.StructType.fromDDL(
-    "document string, ord bigint, page int, text string, font_name string, font_size double, color_key string, "
-    "is_bold boolean, is_italic boolean, top double, bottom double"
-)
-BOOKMARK = T.StructType.fromDDL("document string, ord bigint, title string, level int, page int, parent_titles array<string>")
-TERM_STATS = T.StructType.fromDDL("term string, df bigint")
-CORPUS_STATS = T.StructType.fromDDL("total_docs bigint, total_len bigint")
+_TEXT, _INT, _LONG, _DOUBLE, _BOOL = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType()
+
+
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+CHUNK = _table(
+    id=_TEXT, text=_TEXT, embedding=T.ArrayType(T.FloatType()), source_document=_TEXT, start_page=_INT, end_page=_INT,
+    chunk_index=_INT, chunk_total=_INT, section=_TEXT, section_path=_TEXT, metadata=T.MapType(_TEXT, _TEXT),
+)
+SECTION = _table(
+    document=_TEXT, section_ord=_INT, heading=_TEXT, heading_path=_TEXT, heading_font_size=_DOUBLE, heading_is_bold=_BOOL,
+    level=_INT, start_page=_INT, end_page=_INT, page_texts=T.ArrayType(_table(page_number=_INT, text=_TEXT)),
+)
+WORD = _table(
+    document=_TEXT, ord=_LONG, page=_INT, text=_TEXT, font_name=_TEXT, font_size=_DOUBLE, color_key=_TEXT,
+    is_bold=_BOOL, is_italic=_BOOL, top=_DOUBLE, bottom=_DOUBLE,
+)
+BOOKMARK = _table(document=_TEXT, ord=_LONG, title=_TEXT, level=_INT, page=_INT, parent_titles=T.ArrayType(_TEXT))
+TERM_STATS = _table(term=_TEXT, df=_LONG)
+CORPUS_STATS = _table(total_docs=_LONG, total_len=_LONG)
 
 
 class Scoring(Enum):
