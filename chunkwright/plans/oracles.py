@@ -189,14 +189,14 @@ def sql() -> dict[str, str]:
         "simple_sections": f"""WITH {_WORDS}, {_breaks('words', 'document, page')}, p AS (SELECT document, page, string_agg(coalesce(separator, '') || text, '' ORDER BY ord) AS t FROM parted WHERE page > 1 GROUP BY ALL)
             SELECT document, min(p.page)::INTEGER AS start_page, any_value(l.page)::INTEGER AS end_page, count(*) AS n_pages, string_agg(t, ' ' ORDER BY p.page) AS text FROM p JOIN (SELECT document, max(page) AS page FROM words GROUP BY 1) l USING (document) WHERE regexp_matches(t, '\\S') GROUP BY document""",
         "sections_by_format": f"""WITH {_WORDS}, {_BODY}, {_HEADS},
-            flagged AS (SELECT *, heading_level BETWEEN 1 AND 2 AS h FROM leveled),
-            starts AS (SELECT *, (h AND NOT coalesce(lag(h) OVER w AND abs(font_size - lag(font_size) OVER w) < 0.5 AND page = lag(page) OVER w, false))::INTEGER AS new FROM flagged WINDOW w AS (PARTITION BY document ORDER BY ord)),
+            flagged AS (SELECT *, heading_level BETWEEN 1 AND 2 AS headed FROM leveled),
+            starts AS (SELECT *, (headed AND NOT coalesce(lag(headed) OVER w AND abs(font_size - lag(font_size) OVER w) < 0.5 AND page = lag(page) OVER w, false))::INTEGER AS new FROM flagged WINDOW w AS (PARTITION BY document ORDER BY ord)),
             m AS (SELECT *, (sum(new) OVER (PARTITION BY document ORDER BY ord))::INTEGER AS sid FROM starts),
-            heads AS (SELECT document, sid, string_agg(text, ' ' ORDER BY ord) FILTER (h) AS title, max(font_size) FILTER (new = 1) AS fs, coalesce(bool_or(is_bold) FILTER (new = 1), false) AS bold,
-                coalesce(max(heading_level) FILTER (new = 1), 1) AS level, coalesce(max(page) FILTER (new = 1), 1) AS start_page, max(new) AS headed FROM m GROUP BY ALL HAVING count(*) FILTER (NOT h) > 0),
-            up AS (SELECT *, max(CASE WHEN level = 1 AND headed = 1 THEN sid END) OVER w AS a1, max(CASE WHEN level = 2 AND headed = 1 THEN sid END) OVER w AS a2 FROM heads WINDOW w AS (PARTITION BY document ORDER BY sid)),
-            paths AS (SELECT u.*, CASE WHEN u.headed = 0 THEN '' WHEN u.level = 1 THEN u.title ELSE coalesce(p.title || ' > ', '') || u.title END AS path FROM up u LEFT JOIN heads p ON p.document = u.document AND p.sid = u.a1),
-            bodies AS (SELECT * FROM m WHERE NOT h), {_breaks('bodies', 'document, sid, page')},
+            heads AS (SELECT document, sid, string_agg(text, ' ' ORDER BY ord) FILTER (headed) AS title, max(font_size) FILTER (new = 1) AS fs, coalesce(bool_or(is_bold) FILTER (new = 1), false) AS bold,
+                coalesce(max(heading_level) FILTER (new = 1), 1) AS level, coalesce(max(page) FILTER (new = 1), 1) AS start_page, max(new) AS named FROM m GROUP BY ALL HAVING count(*) FILTER (NOT headed) > 0),
+            up AS (SELECT *, max(CASE WHEN level = 1 AND named = 1 THEN sid END) OVER w AS a1, max(CASE WHEN level = 2 AND named = 1 THEN sid END) OVER w AS a2 FROM heads WINDOW w AS (PARTITION BY document ORDER BY sid)),
+            paths AS (SELECT u.*, CASE WHEN u.named = 0 THEN '' WHEN u.level = 1 THEN u.title ELSE coalesce(p.title || ' > ', '') || u.title END AS path FROM up u LEFT JOIN heads p ON p.document = u.document AND p.sid = u.a1),
+            bodies AS (SELECT * FROM m WHERE NOT headed), {_breaks('bodies', 'document, sid, page')},
             pages AS (SELECT document, sid, page, string_agg(coalesce(separator, '') || text, '' ORDER BY ord) AS t FROM parted GROUP BY ALL),
             texts AS (SELECT document, sid, max(page) AS end_page, string_agg(t, chr(12) ORDER BY page) AS text FROM pages GROUP BY ALL)
             SELECT document, sid AS section_ord, coalesce(title, '') AS heading, path AS heading_path, fs AS heading_font_size, bold AS heading_is_bold, level, start_page, end_page, text FROM paths JOIN texts USING (document, sid)""",
