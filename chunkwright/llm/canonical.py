@@ -84,6 +84,16 @@ def _map(expr: str, pairs: dict[str, str]) -> str:
     return _translate(expr, {a: b for a, b in pairs.items() if len(a) == len(b) == 1})
 
 
+def skeleton_sql(column: str) -> str:
+    """An expression for the text with every look-alike as its Latin twin: equal for texts that read the same, but not itself for reading."""
+    one, more = _compatible()
+    text = f"regexp_replace({column}, '[{_class(INVISIBLE)}]', '', 'g')"
+    for ch, to in more.items():
+        text = f"replace({text}, {_quoted(ch)}, {_quoted(to)})"
+    latin = _map(_map(f"nfc_normalize({_translate(text, one)})", _composed(CYRILLIC, CYR_LATIN)), _composed(GREEK, GREEK_LATIN))
+    return f"nfc_normalize({latin})"
+
+
 @cache
 def canonical_sql(column: str = "text", source: str = "batch") -> str:
     """The embedded SQL: one row of ``source`` in, ``canonical`` out, in the same order."""

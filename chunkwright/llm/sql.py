@@ -2,4 +2,41 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from chunkwright.llm.canonical import canonical_sql, skeleton_sql
+
+_TERMS = r"""
+tok AS (SELECT chunk_no, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM chunks),
+tf AS (SELECT chunk_no, term, count(*) AS tf FROM tok GROUP BY ALL),
+stats AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS gf, sum(tf * ln(tf)) AS tlogt FROM tf GROUP BY term),
+total AS (SELECT count(DISTINCT chunk_no) AS n FROM tok)"""
+_LINES = r"""
+l AS (SELECT chunk_no, source_document, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM chunks WHERE source_document IS NOT NULL),
+f AS (SELECT chunk_no, source_document, line_no, regexp_replace(lower(trim(regexp_replace(line, '[\s\p{Z}\x{85}\x1C-\x1F]+', ' ', 'g'))), '[0-9]+', '0', 'g') AS form FROM l),
+often AS (SELECT source_document, form FROM f WHERE form <> '' GROUP BY ALL HAVING count(DISTINCT chunk_no) >= 10),
+found AS (SELECT chunk_no, line_no FROM f JOIN often USING (source_document, form))"""
+
+SQL: dict[str, str] = {
+    "p1_found": "SELECT chunk_no FROM chunks WHERE strlen(text) > 1600",
+    "p2_found": f"WITH {_TERMS} SELECT chunk_no, term FROM tf JOIN stats USING (term) WHERE tf >= 4 AND df BETWEEN 2 AND 12",
+    "p2_scores": f"""WITH {_TERMS} SELECT chunk_no, term, tf, df, round(ln(1 + tf) * CASE WHEN df > 1 THEN 1 - (ln(gf) - tlogt / gf) / ln(n) ELSE 1 END, 6) AS score FROM tf JOIN stats USING (term), total""",
+    "p3_found": """WITH c AS (SELECT chunk_no, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM chunks WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0), u AS (SELECT chunk_no, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM c)
+        SELECT a.chunk_no AS chunk_no_a, b.chunk_no AS chunk_no_b FROM u a JOIN u b ON a.chunk_no < b.chunk_no WHERE list_dot_product(a.e, b.e) >= 0.9""",
+    "p4_found": r"""WITH t AS (SELECT chunk_no, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM chunks),
+        g AS (SELECT DISTINCT chunk_no, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t WHERE len(w) >= 3),
+        n AS (SELECT chunk_no, count(*) AS n FROM g GROUP BY 1),
+        c AS (SELECT a.chunk_no AS x, b.chunk_no AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.chunk_no < b.chunk_no GROUP BY ALL)
+        SELECT x AS chunk_no_a, y AS chunk_no_b FROM c JOIN n p ON p.chunk_no = x JOIN n q ON q.chunk_no = y WHERE k * 10 >= 6 * (p.n + q.n - k)""",
+    "p5_found": f"WITH {_TERMS} SELECT term FROM stats, total WHERE df <= 2 OR df * 10 > 6 * n",
+    "p5_terms": f"WITH {_TERMS} SELECT term, gf AS occurrences, df AS rows, CASE WHEN df <= 2 THEN 'rare' WHEN df * 10 > 6 * n THEN 'common' ELSE 'useful' END AS mark FROM stats, total",
+    "p6_found": f"WITH {_LINES} SELECT chunk_no, line_no FROM found",
+    "p6_clean": f"""WITH {_LINES}, gone AS (SELECT chunk_no, count(*) AS n FROM found GROUP BY 1),
+        kept AS (SELECT l.chunk_no, string_agg(line, chr(10) ORDER BY l.line_no) AS t FROM l LEFT JOIN found ON found.chunk_no = l.chunk_no AND found.line_no = l.line_no WHERE found.chunk_no IS NULL GROUP BY 1)
+        SELECT c.chunk_no, CASE WHEN gone.n > 0 THEN coalesce(kept.t, '') ELSE c.text END AS text, coalesce(gone.n, 0)::INTEGER AS lines_removed FROM chunks c LEFT JOIN gone USING (chunk_no) LEFT JOIN kept USING (chunk_no)""",
+    "p7_found": "SELECT doc_id FROM documents WHERE strlen(text) > 8192",
+    "p8_found": """WITH s AS (SELECT source, sum(coalesce(strlen(text), 0)) AS size FROM documents GROUP BY 1), t AS (SELECT sum(size) AS total FROM s)
+        SELECT m.source FROM mix_targets m LEFT JOIN s USING (source), t WHERE coalesce(size, 0) * max_repeats * 1000 < target_permille * total""",
+    "p9_found": f"""WITH s AS (SELECT doc_id, text, {skeleton_sql("text")} AS k FROM documents WHERE text IS NOT NULL)
+        SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p9_canonical": canonical_sql("text", "(SELECT doc_id AS n, text FROM documents)").replace("SELECT CASE", "SELECT p.n AS doc_id, CASE").replace(" ORDER BY p.n", ""),
+}
