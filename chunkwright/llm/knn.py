@@ -99,29 +99,36 @@ def places_arrow(batches: Iterator[pa.RecordBatch], dimensions: int, curves: int
 
 
 def best_in_block(block: np.ndarray, around: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the block, row of ``around``, cosine) of the ``k`` most similar for each row; the block itself begins at ``own`` in ``around``."""
-    s = block @ around.T
-    s[np.arange(len(block)), own + np.arange(len(block))] = -2
-    k = min(k, s.shape[1] - 1)
+    """(row of the block, row of ``around``, cosine) of the ``k`` most similar for each row, best first; the block itself begins at ``own`` in ``around``.
+
+    A few rows at a time, so that their products stay in the processor's cache. The k-th
+    largest of the maxima of groups of columns is a bound that k values at least reach.
+    """
+    columns, width, few = len(around), 64, 128
+    k = min(k, columns - 1)
     if k < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
-    width = 32
-    if s.shape[1] >= 4 * k * width:
-        whole = s.shape[1] // width * width
-        tops = s[:, :whole].reshape(len(s), -1, width).max(2)
-        least = -np.partition(-tops, k - 1, axis=1)[:, k - 1]  # k values are no less, so the k-th best isn't either
-        r, c = np.divmod(np.flatnonzero(s >= least[:, None]), s.shape[1])
-    else:
-        r = c = np.empty(0, np.int64)
-    if not len(r) or len(r) > 16 * k * len(block):  # few columns, or many ties
-        c = np.argpartition(-s, k - 1, axis=1)[:, :k].ravel()
-        r = np.repeat(np.arange(len(block)), k)
-    v = s[r, c]
-    order = np.lexsort((-v, r))
-    r, c, v = r[order], c[order], v[order]
-    nth = np.arange(len(r)) - np.searchsorted(r, r)
-    keep = (nth < k) & (v > -2)
-    return r[keep], c[keep], v[keep]
+    other = np.ascontiguousarray(around.T)
+    found = []
+    for at in range(0, len(block), few):
+        s = block[at : at + few] @ other
+        rows = np.arange(len(s))
+        s[rows, own + at + rows] = -2
+        r = c = rows[:0]
+        if columns >= 4 * k * width:
+            tops = s[:, : columns // width * width].reshape(len(s), width, -1).max(1)
+            least = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k]
+            r, c = np.divmod(np.flatnonzero(s >= least[:, None]), columns)
+        if not len(r) or len(r) > 16 * k * len(s):  # few columns, or many ties
+            c = np.argpartition(-s, k - 1, axis=1)[:, :k].ravel()
+            r = np.repeat(rows, k)
+        v = s[r, c]
+        order = np.lexsort((-v, r))
+        r, c, v = r[order], c[order], v[order]
+        keep = (np.arange(len(r)) - np.searchsorted(r, r) < k) & (v > -2)
+        found.append((r[keep] + at, c[keep], v[keep]))
+    r, c, v = (np.concatenate(x) for x in zip(*found, strict=True))
+    return r, c, v
 
 
 def windows_arrow(batches: Iterator[pa.RecordBatch], dimensions: int, k: int) -> Iterator[pa.RecordBatch]:
