@@ -27,7 +27,7 @@ CURVES = 8
 CURVE_ROWS = 200_000
 #: Rows compared at a time, and neighbours on either side that they are compared with besides each other.
 BLOCK = 1024
-MARGIN = 6144
+MARGIN = 8192
 #: Directions that a curve runs through, and bits for each.
 DIRECTIONS = 12
 BITS = 5
