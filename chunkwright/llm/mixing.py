@@ -27,7 +27,7 @@ SHARD_SLOTS = 4096
 MAX_TARGETS = 100_000
 
 
-def permuted(index: np.ndarray, n: int, seed: int) -> np.ndarray:
+def permuted(index: np.ndarray, n: int, seed: int | list[int]) -> np.ndarray:
     """Where a pseudorandom permutation of 0..n-1 takes each index: a Feistel network over the next even power of two, walked until it falls below n."""
     bits = max(2, (n - 1).bit_length() + 1 & ~1)
     half = np.uint64(bits // 2)
@@ -132,7 +132,7 @@ def slots(df: DataFrame, plan: Plan, shard_slots: int = SHARD_SLOTS, seed: int =
                     where = np.empty(n, np.int64)
                     for r in np.unique(repeat):
                         of = repeat == r
-                        where[of] = permuted(index[of], plan.blocks[i], hash((seed, i, int(r))) & 0x7FFFFFFF)
+                        where[of] = permuted(index[of], plan.blocks[i], [seed, i, int(r)])
                     out.append(pd.DataFrame({"source": plan.sources[i], "repeat": repeat, "block": where}))
                 mixed = pd.concat(out, ignore_index=True)
                 order = np.random.default_rng([seed, int(shard)]).permutation(len(mixed))

@@ -28,8 +28,8 @@ from chunkwright.session import checkpointed
 #: Terms in a shingle, and the Jaccard similarity from which texts are near-duplicates.
 WORDS = 3
 THRESHOLD = 0.6
-#: A pair at the threshold shares no band with a probability of (1 - 0.6 ** 4) ** 40 = 0.4 %.
-BANDS = 40
+#: A pair at the threshold shares no band with a probability of (1 - 0.6 ** 4) ** 60 = 0.02 %.
+BANDS = 60
 ROWS = 4
 #: Bits of an odd sketch.
 BITS = 512
@@ -86,15 +86,17 @@ def shingles(texts: list[str | None], words: int, hashes: _Hashes) -> tuple[np.n
 
 
 def signatures(grams: np.ndarray, starts: np.ndarray, samples: int) -> np.ndarray:
-    """MinHash samples, a row for each text: the least product of a shingle's hash with each of ``samples`` odd multipliers."""
-    factors = np.random.default_rng(4).integers(1, 2**63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """MinHash samples, a row for each text: the least of its shingles' hashes after a flip of random bits and a multiplication by a random odd number, another one for each sample."""
+    rng = np.random.default_rng(4)
+    factors = rng.integers(1, 2**63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    flips = rng.integers(0, 2**64, samples, dtype=np.uint64)
     out = np.empty((len(starts) - 1, samples), np.uint64)
     at = 0
     while at < len(out):  # a few texts at a time, to stay in the processor's cache
         to = max(at + 1, int(np.searchsorted(starts, starts[at] + 16_384, "right")) - 1)
         part, begin = grams[starts[at] : starts[to]], starts[at:to] - starts[at]
         for k in range(samples):
-            out[at:to, k] = np.minimum.reduceat(part * factors[k], begin)
+            out[at:to, k] = np.minimum.reduceat((part ^ flips[k]) * factors[k], begin)
         at = to
     return out
 
