@@ -22,6 +22,7 @@ from chunkwright.functions.text import has_ink, page_list
 Tokenizer = Callable[[str], list[int]]
 
 SENTENCE_ENDS = ".!?"
+WHITE = regex.compile(r"\s")
 PIECE = regex.compile(r"\s*(?:[\p{L}\p{M}]+|\p{N}{1,3}|[^\s\p{L}\p{N}]+)|\s+")
 
 
@@ -65,9 +66,22 @@ class BpeTokenizer:
         return ends
 
 
+def leading(text: str, count: int, tokenizer: Tokenizer) -> list[int]:
+    """The ends of more than ``count`` tokens, or of all: a stretch of the text that doubles until it has enough, ended before white space, where tokens begin anew."""
+    size = 8 * count + 256
+    while size < len(text):
+        space = WHITE.search(text, size)
+        stop = space.start() if space else len(text)
+        ends = tokenizer(text[:stop])
+        if len(ends) > count or stop == len(text):
+            return ends
+        size *= 2
+    return tokenizer(text)
+
+
 def prefix_within(text: str, limit: int, tokenizer: Tokenizer) -> str:
     """The longest beginning of ``limit`` tokens, cut after the last sentence end of its final quarter if there is one; a character at least."""
-    ends = tokenizer(text)
+    ends = leading(text, limit, tokenizer)
     fit = len(text) if len(ends) <= limit else ends[limit - 1] if limit > 0 else 0
     if not fit:
         return text[:1]
@@ -94,7 +108,7 @@ def chunk_section(pages: list[tuple[int | None, str]], limit: int, overlap: int,
     whole = " ".join(text for _, text in pages)
     if not whole.strip():
         return []
-    if len(tokenizer(whole)) <= limit:
+    if len(leading(whole, limit, tokenizer)) <= limit:
         return [(whole, [p for p, _ in pages if p is not None])]
     out: list[tuple[str, list[int]]] = []
     text, used, on = "", 0, set()
@@ -116,7 +130,7 @@ def chunk_section(pages: list[tuple[int | None, str]], limit: int, overlap: int,
                 if text and len(text) >= len(before):  # the overlap alone fills a chunk
                     text, used = "", 0
                 continue
-            ends = tokenizer(rest)
+            ends = leading(rest, room, tokenizer)
             taken = rest if len(ends) <= room else prefix_within(rest, room, tokenizer)
             text += (" " if text else "") + taken
             if number is not None:
@@ -150,8 +164,10 @@ def chunk_sections(sections: DataFrame, limit: int = 400, overlap: int = 50, tok
         for batch in batches:
             yield batch.map(lambda pages: [{"text": t, "pages": p} for t, p in chunk_section([(x["page_number"], x["text"] or "") for x in (pages if pages is not None else [])], limit, overlap, tokenizer)])
 
-    cut_rows = sections.withColumn("_chunks", cut(F.col("page_texts")))
-    rows = cut_rows.select("document", "section_ord", "heading", "heading_path", "level", "start_page", "end_page", F.size("_chunks").alias("chunk_total"), F.posexplode("_chunks").alias("chunk_index", "_chunk"))
+    # an inner explode would infer a filter from the function's result and run it twice;
+    # counting tokens takes far longer than moving the text, and files are skewed
+    cut_rows = sections.repartition("document", "section_ord").withColumn("_chunks", cut(F.col("page_texts")))
+    rows = cut_rows.select("document", "section_ord", "heading", "heading_path", "level", "start_page", "end_page", F.size("_chunks").alias("chunk_total"), F.posexplode_outer("_chunks").alias("chunk_index", "_chunk")).where("_chunk IS NOT NULL")
     pages = F.col("_chunk.pages")
     marker = F.when(F.coalesce(F.col("heading_path"), F.lit("")) == "", F.lit("nosection")).otherwise(F.conv(F.substring(F.md5("heading_path"), 1, 12), 16, 10))
     section = F.coalesce("heading", "document")

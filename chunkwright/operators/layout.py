@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 from chunkwright.functions.text import heading_path
 
 
-def _order(*more: str) -> Window:
-    return Window.partitionBy("document", *more).orderBy("ord")
+def _order() -> Window:
+    return Window.partitionBy("document").orderBy("ord")
 
 
-def line_breaks(words: DataFrame) -> DataFrame:
-    """Words with ``separator``: what stands between a word and the one before it on its page, null for the first.
+def line_breaks(words: DataFrame, by: tuple[str, ...] = ("document", "page")) -> DataFrame:
+    """Words with ``separator``: what stands between a word and the one before it on its page (or other unit), null for the first.
 
     Word boxes on one height are a line. A gap of more than 1.5 mean heights begins a new
     line; one of more than 0.3 does so behind a sentence end or a list marker.
     """
-    before = _order("page")
+    before = Window.partitionBy(*by).orderBy("ord")
     p_top, p_bottom, p_text = F.lag("top").over(before), F.lag("bottom").over(before), F.lag("text").over(before)
     height = (F.abs(F.col("top") - F.col("bottom")) + F.abs(p_top - p_bottom)) / 2
     height = F.when(height < 1, F.lit(10.0)).otherwise(height)
@@ -134,8 +134,8 @@ def format_sections(words: DataFrame, max_depth: int = 1, max_size: float | None
         parts.append(F.when(alive, F.col(f"_name{depth}")))
         lower = F.col(f"_at{depth}") if lower is None else F.greatest(lower, F.col(f"_at{depth}"))
     paths = paths.withColumn("heading_path", F.when(F.col("_title").isNotNull(), heading_path(*parts)).otherwise("")).withColumn("heading", F.coalesce("_title", F.lit("")))
-    body = line_breaks(marked.where(~F.col("_h")).withColumn("_doc", F.col("document")).withColumn("document", F.struct("document", "_id")))
-    pages = body.groupBy(F.col("_doc").alias("document"), "_id", "page").agg(F.collect_list(F.struct("ord", "separator", "text")).alias("_w"))
+    body = line_breaks(marked.where(~F.col("_h")), ("document", "_id", "page"))
+    pages = body.groupBy("document", "_id", "page").agg(F.collect_list(F.struct("ord", "separator", "text")).alias("_w"))
     pages = pages.select("document", "_id", F.col("page").alias("page_number"), F.trim(joined_words(F.col("_w"))).alias("text"))
     texts = pages.groupBy("document", "_id").agg(F.max("page_number").alias("end_page"), F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("page_texts"))
     out = paths.join(texts, ["document", "_id"])

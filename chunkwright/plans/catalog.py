@@ -34,8 +34,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def words(spark: SparkSession, folder: str) -> DataFrame:
-    """A layout for documents: a word for each run between spaces, 40 lines a page, line 0 in 18 points, every tenth bold in 14, the others in 10."""
-    lines = table(spark, folder, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("document"), F.posexplode(F.split("text", "\n")).alias("line", "_line"))
+    """A layout for documents: a word for each run between spaces, 40 lines a page, line 0 in 18 points, every tenth bold in 14, the others in 10.
+
+    Texts move to their documents before they are cut into words, so that the windows and
+    groups by document that follow need no exchange of their own.
+    """
+    texts = table(spark, folder, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("document"), "text").repartition("document")
+    lines = texts.select("document", F.posexplode(F.split("text", "\n")).alias("line", "_line"))
     each = lines.select("document", "line", F.posexplode(F.split("_line", " ")).alias("at", "text")).where("text != ''")
     line = F.col("line")
     size = F.when(line == 0, 18.0).when(line % 10 == 0, 14.0).otherwise(10.0)
@@ -134,8 +139,13 @@ def sparse_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, folder: str, scoring: Scoring) -> DataFrame:
-    scores = bm25.bm25_scores(table(spark, folder, "chunks"), table(spark, folder, "queries"), "chunk_no", scoring)
-    return bm25.top_k(scores, 20, "query_id", "chunk_no").select("query_id", "chunk_no", "score", "rank")
+    return bm25.bm25_top_k(table(spark, folder, "chunks"), table(spark, folder, "queries"), "chunk_no", 20, scoring)
+
+
+@_registered
+def bm25_scores(spark: SparkSession, folder: str) -> DataFrame:
+    scores = bm25.bm25_scores(table(spark, folder, "chunks"), table(spark, folder, "queries"), "chunk_no", Scoring.CLASSIC)
+    return scores.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 3).alias("total"))
 
 
 @_registered

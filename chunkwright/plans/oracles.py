@@ -146,6 +146,8 @@ def sql() -> dict[str, str]:
         "sparse_vectors": f"""WITH {_TF}, v AS (SELECT chunk_no, ('0x' || substr(md5(term), 1, 8))::BIGINT AS i, sum({_sat('tf', 'length', '400.0::DOUBLE')})::FLOAT AS w FROM tf GROUP BY ALL)
             SELECT chunk_no, count(*) AS n, string_agg(i::VARCHAR, ',' ORDER BY i) AS indices, round(sum(w::DOUBLE ORDER BY i), 3) AS total FROM v GROUP BY chunk_no""",
         "bm25_topk": f"WITH {_TF}, {_sparse(_IDF, 'average')} SELECT query_id, chunk_no, score, rank::INTEGER AS rank FROM sparse WHERE rank <= 20",
+        "bm25_scores": f"""WITH {_TF}, s AS (SELECT query_id, chunk_no, sum({_IDF} * {_sat("tf.tf", "tf.length", "average")}) AS score FROM qtf JOIN tf USING (term) JOIN stats USING (term), corpus GROUP BY ALL)
+            SELECT query_id, count(*) AS n_chunks, round(max(score), 6) AS best, round(sum(score), 3) AS total FROM s GROUP BY query_id""",
         "bm25_topk_live_idf": f"WITH {_TF}, {_LIVE} SELECT query_id, chunk_no, score, rank::INTEGER AS rank FROM sparse WHERE rank <= 20",
         "bm25_topk_idf_squared": f"WITH {_TF}, {_sparse(_IDF + ' * ' + _IDF + ' * ' + _sat('qtf.tf', 'qtf.length', 'average'), 'average')} SELECT query_id, chunk_no, score, rank::INTEGER AS rank FROM sparse WHERE rank <= 20",
         "prefetch_budgets": budgets,

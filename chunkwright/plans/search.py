@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chunkwright.functions.text import context_entry, embedding_text
-from chunkwright.operators.bm25 import bm25_scores, top_k
+from chunkwright.operators.bm25 import bm25_top_k
 from chunkwright.operators.dense import dense_top_k
 from chunkwright.operators.expand import expand
 from chunkwright.operators.fusion import branch_budgets, fuse
@@ -26,8 +26,8 @@ def hybrid_top_k(chunks: DataFrame, queries: DataFrame, key: str, k: int, config
     """
     n_dense, n_sparse = branch_budgets(k, config.dense_weight)
     dense = dense_top_k(chunks, queries, key, n_dense, dimensions=dimensions)
-    scores = bm25_scores(chunks, queries, key, config.scoring, float(config.max_chunk_tokens), config.k1, config.b)
-    return fuse(dense, top_k(scores, n_sparse, "query_id", key), by="query_id", key=key, k=k)
+    sparse = bm25_top_k(chunks, queries, key, n_sparse, config.scoring, float(config.max_chunk_tokens), config.k1, config.b)
+    return fuse(dense, sparse, by="query_id", key=key, k=k)
 
 
 def search(chunks: DataFrame, queries: DataFrame, key: str = "id", config: Config = Config(), k: int | None = None, score: Callable[[Column, Column], Column] = overlap_score, dimensions: int = 64) -> DataFrame:

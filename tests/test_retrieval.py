@@ -61,6 +61,11 @@ def test_bm25_against_the_formula(spark, scoring):
         want = bm25_by_hand(docs, asked[i], scoring)
         assert got[i].keys() == want.keys() and all(abs(got[i][k] - want[k]) < 2e-6 for k in want)
     assert bm25.bm25_scores(chunks.limit(0), queries, "chunk_no", scoring).count() == 0
+    best = bm25.bm25_top_k(chunks.repartition(3), queries, "chunk_no", 4, scoring).orderBy("query_id", "rank").collect()
+    want = [(i, k) for i in sorted(got) for k in sorted(got[i], key=lambda k: (-got[i][k], k))[:4]]
+    assert [(r["query_id"], r["chunk_no"]) for r in best] == want
+    assert bm25.bm25_top_k(chunks.limit(0), queries, "chunk_no", 4, scoring).count() == 0
+    assert bm25.bm25_top_k(chunks, queries.limit(0), "chunk_no", 4, scoring).count() == 0
 
 
 def test_statistics(spark):
