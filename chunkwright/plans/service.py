@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from chunkwright.operators.chunking import Tokenizer, chunk_sections, piece_tokenizer
 from chunkwright.operators.embed import Embedder, embed_chunks, embed_queries, hashing_embedder
 from chunkwright.operators.layout import format_sections
@@ -38,14 +36,7 @@ class RetrievalService:
         """Indexes files, all in one distributed pass, replacing what they had; gives the number of chunks."""
         words = words_of(scan(self.spark, paths, glob), self.parser)
         chunks = chunk_sections(self.strategy(words), self.config.max_chunk_tokens, self.config.chunk_overlap_tokens, self.tokenizer)
-        made = embed_chunks(chunks, self.embedder, self.config.embedding_batch)
-        before = self.store.version()
-        self.store.upsert(made, order="section_ord") if before is None else self._replace(made)
-        documents = [r["document"] for r in scan(self.spark, paths, glob).select("document").distinct().collect()]
-        return self.store.load().where(F.col("source_document").isin(documents)).count()
-
-    def _replace(self, made: DataFrame) -> None:
-        self.store.upsert(made, order="section_ord")
+        return self.store.replace(embed_chunks(chunks, self.embedder, self.config.embedding_batch))
 
     def search_table(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """Results of a table of queries (query_id, text)."""

@@ -1,9 +1,9 @@
 """The chunk index: a Parquet table partitioned by document, with upsert, delete and clear.
 
-A version is a folder; a pointer file names the current one and is replaced last, so readers
-see the old index or the new one and a lost executor or driver leaves the old one in place.
-Changes to one document rewrite that document's partition only when appending suffices;
-upserts and deletes write a new version from the old without reading what they overwrite.
+A version is a folder; a pointer file names the current one and is replaced last, by one
+rename, so readers see the old index or the new one and a lost executor or driver leaves the
+old one in place. Changes write a new version from the old and never read what they
+overwrite; the version before stays until the next change, for readers that still hold it.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from chunkwright.operators.bm25 import corpus_stats, term_frequencies, term_stats
 from chunkwright.schema import CHUNK
+from chunkwright.session import checkpointed
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "id", order: str = "_ord") -> DataFrame:
@@ -77,18 +78,23 @@ class ChunkStore:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
 
-    def _publish(self, chunks: DataFrame, keep: str | None = None) -> None:
-        name = f"v-{uuid.uuid4().hex}"
+    def _publish(self, chunks: DataFrame) -> None:
+        name, old = f"v-{uuid.uuid4().hex}", self.version()
         chunks.select(*[f.name for f in self.schema]).write.partitionBy(self.partition).parquet(f"{self.path}/{name}")
-        old = self.version()
         draft = self._path(f"{self.path}/current-{name}")
         out = self._fs.create(draft, True)
         out.write(bytearray(name.encode()))
         out.close()
-        self._fs.delete(self._pointer(), False)
-        self._fs.rename(draft, self._pointer())
-        if old and old != keep:
-            self._fs.delete(self._path(f"{self.path}/{old}"), True)
+        jvm = self.spark._jvm
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(self._pointer()), options)
+        for status in self._fs.listStatus(self._root):
+            folder = status.getPath().getName()
+            if folder.startswith("v-") and folder not in (name, old):
+                self._fs.delete(status.getPath(), True)
 
     def append(self, chunks: DataFrame) -> None:
         """Adds rows under new ids, as an index does that never replaces; an empty batch changes nothing."""
@@ -100,10 +106,18 @@ class ChunkStore:
     def upsert(self, chunks: DataFrame, order: str | None = None) -> None:
         """Replaces chunks of the same id and adds the others; of several with one id in the batch, the last by ``order`` (else by place, where that is known)."""
         ordered = chunks.withColumn("_ord", F.col(order) if order else F.monotonically_increasing_id())
-        ordered = ordered.select(*[f.name for f in self.schema], "_ord")
+        ordered = checkpointed(ordered.select(*[f.name for f in self.schema], "_ord"))
         if not ordered.isEmpty():
             self._publish(upserted(self.load(), ordered))
 
+    def replace(self, chunks: DataFrame) -> int:
+        """Replaces all chunks of every document in the batch by its chunks there; gives their number. Made once: the batch is checkpointed."""
+        made = checkpointed(chunks.select(*[f.name for f in self.schema]))
+        n = made.count()
+        if n:
+            self._publish(self.load().join(made.select("source_document").distinct(), "source_document", "left_anti").unionByName(made))
+        return n
+
     def delete_document(self, name: str) -> None:
         """Takes out all chunks of a document. Statistics are of live chunks, so they follow."""
         self._publish(self.load().where(~F.col("source_document").eqNullSafe(F.lit(name))))
