@@ -125,7 +125,8 @@ def split_oversized(df: DataFrame, text: str = "text", limit: int = LIMIT, overl
     large = size_tokens(F.col(text)) > limit
     whole = df.where(~large).select("*", F.lit(0).alias(new[0]), F.lit(1).alias(new[1]), F.lit(0).alias(new[2]), F.lit(0).alias(new[3]))
     pieces = df.where(large).withColumn("_pieces", cut(F.col(text)))
-    pieces = pieces.select("*", F.posexplode("_pieces").alias("_i", "_piece"))
+    # there is always a piece; an inner explode would infer a filter from the function's result and run it twice
+    pieces = pieces.select("*", F.posexplode_outer("_pieces").alias("_i", "_piece"))
     cut_rows = pieces.select(*[F.col("_piece.text").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns], F.col("_i").alias(new[0]), F.size("_pieces").alias(new[1]), F.col("_piece.piece_start").alias(new[2]), F.col("_piece.added_start").alias(new[3]))
     return whole.unionByName(cut_rows)
 
