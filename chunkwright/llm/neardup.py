@@ -244,13 +244,14 @@ class NearDuplicates:
             alone = i == pdf["_j"].iloc[0]
             a, b = np.flatnonzero(of == i), np.flatnonzero(of == pdf["_j"].iloc[0])
             out = []
-            for x in a:
-                count = np.zeros(len(b), np.int64)
-                for w in range(len(words_in)):
-                    count += np.bitwise_count(bits[x, w] ^ bits[b, w])
-                near = b[count <= far]
-                near = near[near > x] if alone else near
-                out.append(pd.DataFrame({"a": np.minimum(key[x], key[near]), "b": np.maximum(key[x], key[near])}))
+            for at in range(0, len(a), 64):
+                some = a[at : at + 64]
+                differ = np.bitwise_count(bits[some, None, :] ^ bits[None, b, :]).sum(2, dtype=np.int64)
+                x, y = np.nonzero(differ <= far)
+                x, y = some[x], b[y]
+                if alone:
+                    x, y = x[y > x], y[y > x]
+                out.append(pd.DataFrame({"a": np.minimum(key[x], key[y]), "b": np.maximum(key[x], key[y])}))
             return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"a": key[:0], "b": key[:0]})
 
         return dealt.groupBy("band", "_i", "_j").applyInPandas(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).where("a != b")
