@@ -22,6 +22,7 @@ CAPACITY = 8192
 #: A shard's size in tokens and rows; more of them waste more in last containers, larger ones take longer each.
 SHARD_TOKENS = 4 << 20
 SHARD_ROWS = 50_000
+MAX_TASKS = 10_000
 #: Containers that the search fills in a shard, over all branches, before it settles for the incumbent.
 NODES = 20_000
 
@@ -169,7 +170,8 @@ def items(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     size = size_tokens(F.col(text))
     whole = df.where(size <= capacity).select(key, F.lit(0).alias("piece_index"), F.lit(1).alias("piece_total"), F.lit(0).cast("bigint").alias("byte_start"), size.alias("size"))
     cuts = df.where(size > capacity).select(key, cut(F.col(text)).alias("_cuts"))
-    pieces = cuts.select(key, F.posexplode("_cuts").alias("piece_index", "_cut"), F.size("_cuts").alias("piece_total"))
+    # outer, as an inner explode would infer a filter from the function's result and run it twice
+    pieces = cuts.select(key, F.posexplode_outer("_cuts").alias("piece_index", "_cut"), F.size("_cuts").alias("piece_total"))
     return whole.unionByName(pieces.select(key, "piece_index", "piece_total", "_cut.byte_start", "_cut.size"))
 
 
@@ -197,7 +199,8 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
         return pdf.assign(container=container)[[f.name for f in schema]]
 
     dealt = parts.where("size > 0").withColumn("_shard", F.pmod(F.xxhash64(key, "byte_start"), F.lit(shards)))
-    packed = dealt.groupBy("_shard").applyInPandas(fill, schema)
+    # so many partitions that the search runs in parallel: by their bytes alone, which are few, shards would be put together
+    packed = dealt.repartition(min(shards, MAX_TASKS), "_shard").groupBy("_shard").applyInPandas(fill, schema)
     return packed.unionByName(parts.where("size = 0").withColumn("container", F.lit(None).cast("bigint")))
 
 
