@@ -152,7 +152,8 @@ def mix(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "tex
     """
     plan = plan_mix(df, targets, text, source, block)
     made = blocks(df, plan, key, text, source, block)
-    return slots(df, plan, shard_slots, seed).join(made, ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "part", key, "byte_start", "byte_length"), plan
+    # the optimizer takes the slots for as few as the shards they are made from and would broadcast them
+    return slots(df, plan, shard_slots, seed).join(made.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "part", key, "byte_start", "byte_length"), plan
 
 
 def mix_report(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 17) -> DataFrame:
