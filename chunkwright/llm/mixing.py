@@ -167,3 +167,12 @@ def mix_report(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str
     # the mixture falls short by more than a block's rounding only where the exact rule says so
     missing = F.col("reached_size") * 1000 < F.col("target_permille").cast("bigint") * F.lit(plan.total)
     return out.select("source", "target_permille", "max_repeats", "source_size", "reached_size", F.round(F.col("reached_size") * 1000 / whole, 4).alias("reached_permille"), (missing & F.col("_rule")).alias("short"))
+
+
+def mixed_tokens(mixed: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(shard, slot, source, tokens): the tokens of each slot, that is its bytes. One join on the key, which must be unique in ``df``; a slot has at most a block's bytes, so its parts gather in one row."""
+    texts = df.select(F.col(key).alias("_key"), F.encode(text, "UTF-8").alias("_bytes"))
+    cut = F.expr("substring(_bytes, cast(byte_start + 1 AS int), cast(byte_length AS int))")
+    parts = mixed.join(texts, F.col(key) == F.col("_key")).select("shard", "slot", "source", F.struct("part", cut.alias("bytes")).alias("_p"))
+    gathered = parts.groupBy("shard", "slot", "source").agg(F.array_sort(F.collect_list("_p")).alias("_ps"))
+    return gathered.select("shard", "slot", "source", F.aggregate("_ps", F.lit(b""), lambda s, p: F.concat(s, p["bytes"])).alias("tokens"))

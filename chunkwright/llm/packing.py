@@ -207,3 +207,10 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
 def containers(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(container, items, filled, left_empty) of ``pack``'s result."""
     return packed.where("container IS NOT NULL").groupBy("container").agg(F.count("*").alias("items"), F.sum("size").alias("filled")).withColumn("left_empty", F.lit(capacity) - F.col("filled"))
+
+
+def packed_texts(packed: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``pack``'s rows with the text of each item: one join on the key, which must be unique in ``df``. Null texts stay null."""
+    texts = df.select(F.col(key).alias("_key"), F.encode(text, "UTF-8").alias("_bytes"))
+    cut = F.expr("decode(substring(_bytes, cast(byte_start + 1 AS int), cast(size AS int)), 'UTF-8')")
+    return packed.join(texts, F.col(key).eqNullSafe(F.col("_key"))).withColumn(text, cut).drop("_key", "_bytes")

@@ -11,10 +11,10 @@ from chunkwright.llm import sql
 from chunkwright.llm.canonical import canonicalize, same_reading
 from chunkwright.llm.freq import term_frequencies
 from chunkwright.llm.knn import nearest, similar_pairs
-from chunkwright.llm.lines import repeated_lines, without_repeated_lines
-from chunkwright.llm.mixing import mix_report
+from chunkwright.llm.lines import frequent_lines, prefix_span, repeated_lines, without_repeated_lines
+from chunkwright.llm.mixing import mix, mix_report, mixed_tokens
 from chunkwright.llm.neardup import NearDuplicates
-from chunkwright.llm.packing import containers, pack
+from chunkwright.llm.packing import containers, pack, packed_texts
 from chunkwright.llm.pairs import class_pairs
 from chunkwright.llm.split import split_chunks, split_oversized
 from chunkwright.llm.terms import log_entropy
@@ -87,6 +87,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents").select("doc_id", "text")).where("piece_total > 1 AND piece_index = 0").select("doc_id")
 
 
+def p6_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    spans = prefix_span(frequent_lines(_table(spark, folder, "chunks").select("chunk_no", "text", "source_document")))
+    pattern = F.array_join(F.transform("pattern", lambda i: i["a"].cast("string")), " ")
+    return spans.groupBy(pattern.alias("pattern"), F.size("pattern").alias("length")).agg(F.count("*").alias("rows"), F.min("chunk_no").alias("first_chunk_no"))
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text")
+    return packed_texts(pack(documents), documents)
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return containers(pack(_table(spark, folder, "documents").select("doc_id", "text")))
 
@@ -99,6 +110,12 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(_table(spark, folder, "documents").select("doc_id", "text", "source"), _table(spark, folder, "mix_targets"))
 
 
+def p8_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents").select("doc_id", "text", "source")
+    mixed, _ = mix(documents, _table(spark, folder, "mix_targets"))
+    return mixed_tokens(mixed, documents)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     classes = same_reading(_table(spark, folder, "documents"))
     return class_pairs(classes, "doc_id", differ="variant")

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from chunkwright.llm.mixing import mix, mix_report, permuted, shard_draw
+from chunkwright.llm.mixing import mix, mix_report, mixed_tokens, permuted, shard_draw
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 100, 1000, 4097])
@@ -45,6 +45,10 @@ def test_shares_and_repeats(spark):
     assert {n for (k, _), n in uses.items() if k >= 1000} == {3} and max(n for (k, _), n in uses.items() if k < 1000) == 1
     assert len({(r["shard"], r["slot"], r["part"]) for r in rows}) == len(rows)
     assert len({(r["shard"], r["slot"]) for r in rows}) == sum(plan.quota)
+    slots = mixed_tokens(mixed, df.where("doc_id != 2003")).collect()
+    assert len(slots) == sum(plan.quota) and all(0 < len(r["tokens"]) <= 64 for r in slots)
+    assert {bytes(r["tokens"]) for r in slots if r["source"] == "big"} <= {b"a" * n for n in range(1, 65)}
+    assert sum(len(r["tokens"]) for r in slots) == sum(r["byte_length"] for r in rows)
 
 
 def test_empty_tables(spark):

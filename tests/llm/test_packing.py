@@ -4,7 +4,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chunkwright.llm.packing import best_fit, bin_completion, containers, cut_points, pack
+from chunkwright.llm.packing import best_fit, bin_completion, containers, cut_points, pack, packed_texts
 
 
 def fewest(sizes, capacity):
@@ -68,3 +68,8 @@ def test_rows(spark):
     assert all(0 <= r["left_empty"] < 8192 for r in filled)
     assert len(filled) <= sum(sizes.values()) / 8192 + 6
     assert pack(df.limit(0)).count() == 0
+    unique = df.where("doc_id != 5")
+    texts = {}
+    for r in sorted(packed_texts(pack(unique, shard_tokens=400_000), unique).collect(), key=lambda r: (r["doc_id"], r["piece_index"])):
+        texts[r["doc_id"]] = None if r["text"] is None else texts.get(r["doc_id"], "") + r["text"]
+    assert texts == {k: t for k, t in rows if k != 5}
