@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chunkwright.functions.vector import is_usable
 from chunkwright.operators.bm25 import top_k
+from chunkwright.operators.topk import RunningTop
 
 #: Queries that go to the executors at a time; a larger set takes several passes over the rows.
 QUERY_BLOCK = 4096
@@ -23,15 +25,16 @@ def _rows(vectors: pa.Array, dimensions: int) -> np.ndarray:
 
 
 def dense_scores(chunks: DataFrame, queries: DataFrame, key: str, k: int, vector: str = "embedding", query_key: str = "query_id", query_vector: str = "vec", dimensions: int = 64) -> DataFrame:
-    """(``query_key``, ``key``, score): for each query, the rows that are among its ``k`` best of a batch of rows.
+    """(``query_key``, ``key``, score): for each query, the rows that are among its ``k`` best of a partition.
 
     A superset of the overall top k, small enough to rank: the rows stay where they are and
     are multiplied by a block of queries at a time. Unusable vectors on either side take no
-    part. Ties at a batch's k-th place are kept.
+    part. Of ties, the smaller keys come first.
     """
     asked = queries.where(is_usable(F.col(query_vector), dimensions)).select(query_key, query_vector).orderBy(query_key)
     rows = chunks.where(is_usable(F.col(vector), dimensions)).select(key, vector)
     schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, chunks.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    kind, key_kind = to_arrow_type(schema[query_key].dataType), to_arrow_type(schema[key].dataType)
     out = None
     block: list = []
     for row in [*asked.toLocalIterator(), None]:
@@ -44,13 +47,13 @@ def dense_scores(chunks: DataFrame, queries: DataFrame, key: str, k: int, vector
             block = []
 
             def scored(batches: Iterator[pa.RecordBatch], ids: list = ids, q: np.ndarray = q) -> Iterator[pa.RecordBatch]:
+                top = RunningTop(len(ids), k)
                 for whole in batches:
                     for at in range(0, whole.num_rows, 2000):
                         batch = whole.slice(at, 2000)
-                        s = np.round(q @ _rows(batch.column(1), dimensions).T, 6)
-                        least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if s.shape[1] > k else np.full((len(s), 1), -2.0)
-                        i, j = np.nonzero(s >= least)
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.int64()), batch.column(0).take(pa.array(j)), pa.array(s[i, j])], names=[query_key, key, "score"])
+                        top.add(np.round(q @ _rows(batch.column(1), dimensions).T, 6), batch.column(0).to_numpy(zero_copy_only=False))
+                i, keys, s = top.best()
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], kind), pa.array(keys, key_kind), pa.array(s)], names=[query_key, key, "score"])
 
             part = rows.mapInArrow(scored, schema)
             out = part if out is None else out.unionByName(part)
