@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chunkwright.functions.text import fence_stripped, terms
 from chunkwright.functions.vector import sigmoid
+from chunkwright.operators.chunking import Tokenizer, leading, piece_tokenizer
 
 #: Scores (query, text) pairs with logits; called with a batch at a time, loaded once in each worker.
 CrossEncoder = Callable[[Sequence[str], Sequence[str]], Sequence[float]]
@@ -24,14 +25,21 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, terms(F.coalesce(text, F.lit(""))))) * 10.0 / F.size(asked)).otherwise(0.0)
 
 
-def model_score(query: Column, text: Column, load: Callable[[], CrossEncoder]) -> Column:
-    """Ten times the sigmoid of a cross-encoder's logit. ``load`` is called once in each Python worker; a model's failure fails the query."""
+def truncated(text: str, limit: int, tokenizer: Tokenizer) -> str:
+    """The first ``limit`` tokens of a text."""
+    ends = leading(text, limit, tokenizer)
+    return text if len(ends) <= limit else text[: ends[limit - 1]]
+
+
+def model_score(query: Column, text: Column, load: Callable[[], CrossEncoder], limit: int = 512, tokenizer: Tokenizer = piece_tokenizer) -> Column:
+    """Ten times the sigmoid of a cross-encoder's logit, of the first ``limit`` tokens of each text. ``load`` is called once in each Python worker; a model's failure fails the query; null texts are empty."""
 
     @F.pandas_udf("double")
     def logits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = load()
         for queries, texts in batches:
-            yield pd.Series(list(model(queries.tolist(), texts.tolist())), dtype="float64")
+            short = [truncated(t, limit, tokenizer) for t in texts.fillna("")]
+            yield pd.Series(list(model(queries.fillna("").tolist(), short)), dtype="float64")
 
     return sigmoid(logits(query, text)) * 10
 

@@ -7,12 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunkwright.operators import bm25
+from chunkwright.operators.chunking import piece_tokenizer
 from chunkwright.operators.components import connected_components
 from chunkwright.operators.dense import dense_top_k
 from chunkwright.operators.expand import chunks_at, expand
 from chunkwright.operators.fusion import branch_budgets, fuse
 from chunkwright.operators.positions import with_offsets
-from chunkwright.operators.rerank import fallback, judge, judge_prompt, judged_scores, model_score, ranked, rerank_above
+from chunkwright.operators.rerank import fallback, judge, judge_prompt, judged_scores, model_score, ranked, rerank_above, truncated
 from chunkwright.operators.skew import grouped_with_totals, with_key_totals
 from chunkwright.schema import Config, Scoring
 
@@ -137,6 +138,13 @@ def test_a_model_scores_in_batches(spark):
     assert {r["t"]: round(r["s"], 6) for r in got} == {"qq": 10.0, "x": 5.0}
 
 
+def test_models_get_truncated_texts(spark):
+    assert truncated("one two three", 2, piece_tokenizer) == "one two" and truncated("one", 2, piece_tokenizer) == "one"
+    df = spark.createDataFrame([("q", "a b c d"), ("q", None)], "q string, t string")
+    got = df.select("t", model_score(F.col("q"), F.col("t"), lambda: lambda qs, ts: [100.0 * (len(t) > 3) for t in ts], limit=2).alias("s")).collect()
+    assert {r["t"]: round(r["s"], 6) for r in got} == {"a b c d": 5.0, None: 5.0}
+
+
 def test_configuration():
     with pytest.raises(ValueError):
         Config(max_chunk_tokens=0)
