@@ -12,6 +12,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right, insort
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -179,7 +180,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     """One row for each item with its ``container``: (``key``, piece_index, piece_total, byte_start, size, container).
 
     A row is cut only if it is larger than a container. Null and empty texts take no room
-    and come out with a null container. Rows that repeat a key are items of their own. The
+    and come out with a null container. Rows that repeat a key, or have none, are items of their own. The
     number of shards follows the total size and the number of rows, both of which are
     counted first, so that no shard grows with the data.
     """
@@ -190,17 +191,17 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     key_type = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, key_type), T.StructField("piece_index", T.IntegerType()), T.StructField("piece_total", T.IntegerType()), T.StructField("byte_start", T.LongType()), T.StructField("size", T.LongType()), T.StructField("container", T.LongType())])
 
-    def fill(ids: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([key, "byte_start"], kind="stable").reset_index(drop=True)
-        container = [0] * len(pdf)
-        for number, chosen in enumerate(bin_completion(pdf["size"].tolist(), capacity, nodes)):
+    def fill(ids: tuple[pa.Scalar, ...], shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([(key, "ascending"), ("byte_start", "ascending")])
+        container = [0] * shard.num_rows
+        for number, chosen in enumerate(bin_completion(shard.column("size").to_pylist(), capacity, nodes)):
             for i in chosen:
-                container[i] = (int(ids[0]) << 32) + number
-        return pdf.assign(container=container)[[f.name for f in schema]]
+                container[i] = (ids[0].as_py() << 32) + number
+        return shard.drop_columns("_shard").append_column("container", pa.array(container, pa.int64())).select([f.name for f in schema])
 
     dealt = parts.where("size > 0").withColumn("_shard", F.pmod(F.xxhash64(key, "byte_start"), F.lit(shards)))
     # so many partitions that the search runs in parallel: by their bytes alone, which are few, shards would be put together
-    packed = dealt.repartition(min(shards, MAX_TASKS), "_shard").groupBy("_shard").applyInPandas(fill, schema)
+    packed = dealt.repartition(min(shards, MAX_TASKS), "_shard").groupBy("_shard").applyInArrow(fill, schema)
     return packed.unionByName(parts.where("size = 0").withColumn("container", F.lit(None).cast("bigint")))
 
 

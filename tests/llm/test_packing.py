@@ -73,3 +73,9 @@ def test_rows(spark):
     for r in sorted(packed_texts(pack(unique, shard_tokens=400_000), unique).collect(), key=lambda r: (r["doc_id"], r["piece_index"])):
         texts[r["doc_id"]] = None if r["text"] is None else texts.get(r["doc_id"], "") + r["text"]
     assert texts == {k: t for k, t in rows if k != 5}
+
+
+def test_keys_may_be_missing_or_large(spark):
+    df = spark.createDataFrame([(None, "a" * 9000), (2**62 + 1, "b"), (None, None)], "doc_id bigint, text string")
+    out = sorted((r["doc_id"] or 0, r["size"], r["container"] is None) for r in pack(df).collect())
+    assert out[0] == (0, 0, True) and out[-1] == (2**62 + 1, 1, False) and sum(n for k, n, _ in out if not k) == 9000
