@@ -2,8 +2,8 @@
 
 PrefixSpan over the sequences of line identifiers, as joins and aggregations: the frequent
 single lines of each source are the patterns of length one; the records projected on a
-pattern (where its earliest embedding ends) are joined with the frequent lines that come
-later in the same record, and what has enough records again is a pattern one longer. A
+pattern (where its embeddings end) are joined with the frequent lines that come soon
+after in the same record, and what has enough records again is a pattern one longer. A
 pattern's lines are all frequent themselves, so the lines that patterns of length one find
 are all there are to delete; longer patterns tell which of them come together.
 """
@@ -17,7 +17,9 @@ from chunkwright.operators.skew import grouped_with_totals
 from chunkwright.session import checkpointed
 
 MIN_ROWS = 10
+#: Lines in the longest sequence that is looked for, and how far apart two that follow each other may stand.
 MAX_LENGTH = 3
+MAX_STEP = 4
 
 #: White space as Unicode has it.
 SPACES = r"[\s\p{Z}\x{85}\x{1C}-\x{1F}]+"
@@ -42,28 +44,32 @@ def frequent_lines(df: DataFrame, key: str = "chunk_no", text: str = "text", sou
     return grouped_with_totals(rows, ["a", "b"], key, {"lines": F.sort_array(F.collect_list("line_no"))}, {"rows": F.lit(1)}).where(F.col("rows") >= min_rows)
 
 
-def prefix_span(frequent: DataFrame, key: str = "chunk_no", min_rows: int = MIN_ROWS, max_length: int = MAX_LENGTH) -> DataFrame:
-    """(``key``, pattern, at, rows): each frequent sequence's earliest embedding in each record that has it.
+def prefix_span(frequent: DataFrame, key: str = "chunk_no", min_rows: int = MIN_ROWS, max_length: int = MAX_LENGTH, max_step: int = MAX_STEP) -> DataFrame:
+    """(``key``, pattern, at, rows): each frequent sequence's first embedding in each record that has it.
 
     ``pattern`` is the array of line identifiers and ``at`` the array of line numbers, as
-    long as each other, up to ``max_length``. Lines between those of a sequence are allowed.
-    Since identifiers include the source, support is counted inside each source. Growing a
-    pattern joins on the record, so groups are as large as a record, and counts are combined
-    before they move.
+    long as each other, up to ``max_length``. The next line of a sequence may stand up to
+    ``max_step`` lines further on, so what a record gives grows with its lines and not with
+    their combinations. Since identifiers include the source, support is counted inside each
+    source. Growing a pattern joins on the record, and counts are combined before they move.
     """
-    once = frequent.select(F.col(key).alias("_k"), F.struct("a", "b").alias("_item"), F.explode("lines").alias("_no"))
-    grown = frequent.select(key, F.array(F.struct("a", "b")).alias("pattern"), F.array(F.element_at("lines", 1)).alias("at"), "rows")
-    levels = [grown]
+    item = F.struct("a", "b")
+    once = frequent.select(F.col(key).alias("_k"), item.alias("_item"), F.explode("lines").alias("_no"))
+    level = frequent.select(key, F.array(item).alias("pattern"), F.transform("lines", lambda n: F.array(n)).alias("_ats"), "rows")
+    levels = [level]
     for _ in range(max_length - 1):
-        after = levels[-1].join(once, (F.col(key) == F.col("_k")) & (F.col("_no") > F.element_at("at", -1)))
+        embedded = level.select(key, "pattern", F.explode("_ats").alias("at"))
+        end = F.element_at("at", -1)
+        after = embedded.join(once, (F.col(key) == F.col("_k")) & (F.col("_no") > end) & (F.col("_no") <= end + max_step))
         longer = after.select(key, F.concat("pattern", F.array("_item")).alias("pattern"), F.concat("at", F.array("_no")).alias("at"))
         longer = longer.withColumn("_p", F.xxhash64("pattern")).withColumn("_q", F.xxhash64(F.reverse("pattern"), F.lit("|")))
-        counted = grouped_with_totals(longer, ["_p", "_q"], key, {"pattern": F.min("pattern"), "at": F.min("at")}, {"rows": F.lit(1)})
-        levels.append(checkpointed(counted.where(F.col("rows") >= min_rows).select(key, "pattern", "at", "rows")))
+        counted = grouped_with_totals(longer, ["_p", "_q"], key, {"pattern": F.min("pattern"), "_ats": F.collect_set("at")}, {"rows": F.lit(1)})
+        level = checkpointed(counted.where(F.col("rows") >= min_rows).select(key, "pattern", "_ats", "rows"))
+        levels.append(level)
     out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out.select(key, "pattern", F.array_min("_ats").alias("at"), "rows")
 
 
 def repeated_lines(df: DataFrame, key: str = "chunk_no", text: str = "text", source: str = "source_document", min_rows: int = MIN_ROWS, max_length: int = MAX_LENGTH) -> DataFrame:
