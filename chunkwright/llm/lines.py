@@ -2,7 +2,7 @@
 
 PrefixSpan over the sequences of line identifiers, as joins and aggregations: the frequent
 single lines of each source are the patterns of length one; the records projected on a
-pattern (where its embeddings end) are joined with the frequent lines that come soon
+pattern (where its first embedding ends) are joined with the frequent lines that come
 after in the same record, and what has enough records again is a pattern one longer. A
 pattern's lines are all frequent themselves, so the lines that patterns of length one find
 are all there are to delete; longer patterns tell which of them come together.
@@ -13,13 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chunkwright.operators.skew import grouped_with_totals
+from chunkwright.operators.skew import grouped_with_totals, with_key_totals
 from chunkwright.session import checkpointed
 
 MIN_ROWS = 10
-#: Lines in the longest sequence that is looked for, and how far apart two that follow each other may stand.
-MAX_LENGTH = 3
-MAX_STEP = 4
 
 #: White space as Unicode has it.
 SPACES = r"[\s\p{Z}\x{85}\x{1C}-\x{1F}]+"
@@ -44,42 +41,46 @@ def frequent_lines(df: DataFrame, key: str = "chunk_no", text: str = "text", sou
     return grouped_with_totals(rows, ["a", "b"], key, {"lines": F.sort_array(F.collect_list("line_no"))}, {"rows": F.lit(1)}).where(F.col("rows") >= min_rows)
 
 
-def prefix_span(frequent: DataFrame, key: str = "chunk_no", min_rows: int = MIN_ROWS, max_length: int = MAX_LENGTH, max_step: int = MAX_STEP) -> DataFrame:
+def prefix_span(frequent: DataFrame, key: str = "chunk_no", min_rows: int = MIN_ROWS) -> DataFrame:
     """(``key``, pattern, at, rows): each frequent sequence's first embedding in each record that has it.
 
     ``pattern`` is the array of line identifiers and ``at`` the array of line numbers, as
-    long as each other, up to ``max_length``. The next line of a sequence may stand up to
-    ``max_step`` lines further on, so what a record gives grows with its lines and not with
-    their combinations. Since identifiers include the source, support is counted inside each
-    source. Growing a pattern joins on the record, and counts are combined before they move.
+    long as each other. Sequences are of any length and their lines stand any number of
+    lines apart; mining ends when no longer sequence reaches the support. A record is
+    projected on a pattern where the pattern's first embedding ends, so it gives each
+    pattern once, and patterns of three lines or more grow only by what makes a frequent
+    pair with their last line. Since identifiers include the source, support is counted
+    inside each source. ``frequent`` is read several times.
     """
     item = F.struct("a", "b")
-    once = frequent.select(F.col(key).alias("_k"), item.alias("_item"), F.explode("lines").alias("_no"))
-    level = frequent.select(key, F.array(item).alias("pattern"), F.transform("lines", lambda n: F.array(n)).alias("_ats"), "rows")
-    levels = [level]
-    for _ in range(max_length - 1):
-        embedded = level.select(key, "pattern", F.explode("_ats").alias("at"))
-        end = F.element_at("at", -1)
-        after = embedded.join(once, (F.col(key) == F.col("_k")) & (F.col("_no") > end) & (F.col("_no") <= end + max_step))
-        longer = after.select(key, F.concat("pattern", F.array("_item")).alias("pattern"), F.concat("at", F.array("_no")).alias("at"))
+    level = frequent.select(key, F.array(item).alias("pattern"), F.array(F.array_min("lines")).alias("at"), "rows")
+    out = level
+    grown = frequent.select(F.col(key).alias("_k"), item.alias("_next"), F.col("lines").alias("_nos"))
+    same = F.col(key) == F.col("_k")
+    while True:
+        first = F.get(F.filter("_nos", lambda n: n > F.element_at("at", -1)), F.lit(0))
+        after = level.drop("rows").join(grown, same).withColumn("_no", first).where("_no IS NOT NULL")
+        longer = after.select(key, F.concat("pattern", F.array("_next")).alias("pattern"), F.concat("at", F.array("_no")).alias("at"), "_nos")
         longer = longer.withColumn("_p", F.xxhash64("pattern")).withColumn("_q", F.xxhash64(F.reverse("pattern"), F.lit("|")))
-        counted = grouped_with_totals(longer, ["_p", "_q"], key, {"pattern": F.min("pattern"), "_ats": F.collect_set("at")}, {"rows": F.lit(1)})
-        level = checkpointed(counted.where(F.col("rows") >= min_rows).select(key, "pattern", "_ats", "rows"))
-        levels.append(level)
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
-    return out.select(key, "pattern", F.array_min("_ats").alias("at"), "rows")
-
-
-def repeated_lines(df: DataFrame, key: str = "chunk_no", text: str = "text", source: str = "source_document", min_rows: int = MIN_ROWS, max_length: int = MAX_LENGTH) -> DataFrame:
+        counted = with_key_totals(longer, ["_p", "_q"], key, {"rows": F.lit(1)})
+        level = checkpointed(counted.where(F.col("rows") >= min_rows).select(key, "pattern", "at", "rows", "_nos"))
+        if level.isEmpty():
+            return out
+        if "_last" not in grown.columns:
+            grown = level.select(F.col(key).alias("_k"), F.col("pattern")[0].alias("_last"), F.col("pattern")[1].alias("_next"), "_nos")
+            same = same & (F.element_at("pattern", -1) == F.col("_last"))
+        level = level.drop("_nos")
+        out = out.unionByName(level)
+
+
+def repeated_lines(df: DataFrame, key: str = "chunk_no", text: str = "text", source: str = "source_document", min_rows: int = MIN_ROWS) -> DataFrame:
     """(``key``, line_no, rows, length): every occurrence of a line to delete, the records of its source that have it, and the length of the longest frequent sequence it stands in.
 
     Rows that share a key are one record. Null sources have no repeated lines; null and
     empty texts and empty lines take no part.
     """
     frequent = checkpointed(frequent_lines(df, key, text, source, min_rows))
-    spans = prefix_span(frequent, key, min_rows, max_length)
+    spans = prefix_span(frequent, key, min_rows)
     longest = spans.where(F.size("pattern") > 1).select(key, F.explode("at").alias("line_no"), F.size("pattern").alias("_length")).groupBy(key, "line_no").agg(F.max("_length").alias("_length"))
     singles = frequent.select(key, F.explode(F.array_distinct("lines")).alias("line_no"), "rows")
     return singles.join(longest, [key, "line_no"], "left").select(key, "line_no", "rows", F.coalesce("_length", F.lit(1)).alias("length"))

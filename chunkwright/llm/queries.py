@@ -18,6 +18,7 @@ from chunkwright.llm.packing import containers, pack, packed_texts
 from chunkwright.llm.pairs import class_pairs
 from chunkwright.llm.split import split_chunks, split_oversized
 from chunkwright.llm.terms import log_entropy
+from chunkwright.session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,7 +89,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_sequences(spark: SparkSession, folder: str) -> DataFrame:
-    spans = prefix_span(frequent_lines(_table(spark, folder, "chunks").select("chunk_no", "text", "source_document")))
+    spans = prefix_span(checkpointed(frequent_lines(_table(spark, folder, "chunks").select("chunk_no", "text", "source_document"))))
     pattern = F.array_join(F.transform("pattern", lambda i: i["a"].cast("string")), " ")
     return spans.groupBy(pattern.alias("pattern"), F.size("pattern").alias("length")).agg(F.count("*").alias("rows"), F.min("chunk_no").alias("first_chunk_no"))
 

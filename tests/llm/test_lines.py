@@ -65,6 +65,14 @@ def test_sequences_against_brute_force(spark):
         assert [text[r["chunk_no"]][i] for i in r["at"]] == [back[i["a"]][1] for i in r["pattern"]]
 
 
+def test_long_sequences_with_wide_gaps(spark):
+    rows = [(i, "\n".join(["Header", *[f"own {chr(97 + i)}{chr(97 + n)}" for n in range(9)], "Legal", "", "notice", "", "Footer", "End"]), "s") for i in range(12)]
+    spans = prefix_span(frequent_lines(spark.createDataFrame(rows, "chunk_no bigint, text string, source_document string"))).collect()
+    want = {at for n in range(1, 6) for at in itertools.combinations((0, 10, 12, 14, 15), n)}
+    assert {(r["chunk_no"], tuple(r["at"])) for r in spans} == {(i, at) for i in range(12) for at in want}
+    assert len(spans) == 12 * len(want) and {r["rows"] for r in spans} == {12}
+
+
 def test_clean_texts(spark):
     df = frame(spark)
     clean = {(r["chunk_no"], r["source_document"]): r for r in without_repeated_lines(df).collect()}
