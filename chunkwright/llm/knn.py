@@ -1,10 +1,11 @@
 """Problem 3: the most similar vectors for every vector.
 
 Shifted space-filling curves: each curve projects the unit vectors on some random orthogonal
-directions, shifts them, and orders them along a Hilbert curve. Spark range-partitions the
-rows by their place on each curve; in each range, blocks of neighbouring rows are compared
-with what lies around them by a matrix product, and the lists that a row gets from the
-curves are merged into one. Work is proportional to rows, curves and window, never to pairs.
+directions, shifts them, and orders them along a Hilbert curve. Each curve is cut into
+tiles, which also get the rows on either side that their windows reach; in each tile, blocks
+of neighbouring rows are compared with what lies around them by a matrix product, and the
+lists that a row gets from the curves are merged into one. Work is rows x curves x window; for
+neighbours of any cosine the window grows with the rows, for those of high cosine it needn't.
 """
 
 from __future__ import annotations
@@ -28,6 +29,12 @@ CURVE_ROWS = 200_000
 #: Rows compared at a time, and neighbours on either side that they are compared with besides each other.
 BLOCK = 1024
 MARGIN = 8192
+#: Rows of a tile in margins, and the most tiles of a curve.
+TILE = 8
+MOST_TILES = 64
+#: Equal parts of a curve whose bounds are known, and the accuracy they are taken with.
+PARTS = 1000
+ACCURACY = 20_000
 #: Directions that a curve runs through, and bits for each.
 DIRECTIONS = 12
 BITS = 5
@@ -104,7 +111,8 @@ def best_in_block(block: np.ndarray, around: np.ndarray, own: int, k: int) -> tu
     A few rows at a time, so that their products stay in the processor's cache. The k-th
     largest of the maxima of groups of columns is a bound that k values at least reach.
     """
-    columns, width, few = len(around), 64, 128
+    columns, width = len(around), 64
+    few = max(1, min(128, (1 << 22) // max(1, columns)))
     k = min(k, columns - 1)
     if k < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32)
@@ -131,44 +139,64 @@ def best_in_block(block: np.ndarray, around: np.ndarray, own: int, k: int) -> tu
     return r, c, v
 
 
-def windows_arrow(batches: Iterator[pa.RecordBatch], dimensions: int, k: int) -> Iterator[pa.RecordBatch]:
-    """(key, near, cosine) with lists of up to ``k`` for each row of a partition sorted by curve and place; holds a block and its margins at a time."""
-    curve = None
-    x, keys, at = np.empty((0, dimensions), np.float32), None, 0
+def tile_bounds(placed: DataFrame, margin: int) -> tuple[int, dict[int, list[tuple[int, int, int, int]]]]:
+    """(tiles of a curve, for each curve its tiles): first and last place of a tile's own rows and of all it gets, ``margin`` rows more on either side at least."""
+    quantiles = F.percentile_approx("place", [i / PARTS for i in range(PARTS + 1)], ACCURACY)
+    found = placed.groupBy("curve").agg(F.count("*").alias("n"), F.min("place").alias("low"), F.max("place").alias("high"), quantiles.alias("q")).collect()
+    n = max((r["n"] for r in found), default=0)
+    tiles = max(1, min(MOST_TILES, math.ceil(n / (TILE * margin))))
+    more = math.ceil((margin / max(n, 1) + 2 / ACCURACY) * PARTS) + 1
+    bounds = {}
+    for r in found:
+        cuts = [round(t * PARTS / tiles) for t in range(tiles + 1)]
+        at = lambda i, r=r: r["low"] if i <= 0 else r["high"] + 1 if i >= PARTS else r["q"][i]
+        bounds[r["curve"]] = [(at(a), at(z), at(a - more), at(z + more)) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+    return tiles, bounds
 
-    def step(to: int) -> pa.RecordBatch:
-        low = max(0, at - MARGIN)
-        around = x[low : to + MARGIN]
-        r, c, v = best_in_block(x[at:to], around, at - low, k)
-        ends = np.searchsorted(r, np.arange(to - at + 1)).astype(np.int32)
+
+def tiles_arrow(batches: Iterator[pa.RecordBatch], tiles: int, bounds: dict[int, list[tuple[int, int, int, int]]]) -> Iterator[pa.RecordBatch]:
+    """(tile, own, place, key, code) of (curve, place, key, code): each row in its own tile and in those whose windows reach it; tiles are numbered over all curves."""
+    for batch in batches:
+        curves, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for c in np.unique(curves):
+            for t, (low, high, first, last) in enumerate(bounds[int(c)]):
+                own = (curves == c) & (place >= low) & (place < high)
+                rows = np.flatnonzero(own | ((curves == c) & (place >= first) & (place < last)))
+                if len(rows):
+                    at = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), c * tiles + t, np.int32)), pa.array(own[rows]), *[batch.column(i).take(at) for i in (1, 2, 3)]], names=["tile", "own", "place", "key", "code"])
+
+
+def windows_arrow(batches: Iterator[pa.RecordBatch], dimensions: int, k: int, margin: int = MARGIN) -> Iterator[pa.RecordBatch]:
+    """(key, near, cosine) with lists of up to ``k`` for each own row of a tile sorted by place; holds a block and its margins at a time."""
+    x, own, keys, at = np.empty((0, dimensions), np.float32), np.empty(0, bool), None, 0
+
+    def step(to: int) -> Iterator[pa.RecordBatch]:
+        mine = np.flatnonzero(own[at:to]) + at
+        if not len(mine):
+            return
+        a, z = int(mine[0]), int(mine[-1]) + 1  # own rows stand together
+        low = max(0, a - margin)
+        r, c, v = best_in_block(x[a:z], x[low : z + margin], a - low, k)
+        ends = np.searchsorted(r, np.arange(z - a + 1)).astype(np.int32)
         near = keys.take(pa.array(c + low))
-        return pa.RecordBatch.from_arrays([keys.slice(at, to - at), pa.ListArray.from_arrays(pa.array(ends), near), pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.float32)))], names=["key", "near", "cosine"])
-
-    for whole in batches:
-        curves = whole.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(curves[1:] != curves[:-1]) + 1), len(curves)]
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == z:
-                continue
-            if curve is not None and curves[a] != curve:
-                while at < len(x):
-                    to = min(at + BLOCK, len(x))
-                    yield step(to)
-                    at = to
-                x, keys, at = x[:0], None, 0
-            curve = curves[a]
-            part = whole.slice(a, z - a)
-            new = np.frombuffer(b"".join(part.column(3).to_pylist()), np.float16).reshape(-1, dimensions).astype(np.float32)
-            x = np.concatenate((x, new))
-            keys = part.column(2) if keys is None else pa.concat_arrays([keys, part.column(2)])
-            while len(x) >= at + BLOCK + MARGIN:
-                yield step(at + BLOCK)
-                at += BLOCK
-            if at > MARGIN:
-                x, keys, at = x[at - MARGIN :], keys.slice(at - MARGIN), MARGIN
+        yield pa.RecordBatch.from_arrays([keys.slice(a, z - a), pa.ListArray.from_arrays(pa.array(ends), near), pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.float32)))], names=["key", "near", "cosine"])
+
+    for part in batches:
+        if not part.num_rows:
+            continue
+        new = np.frombuffer(b"".join(part.column(4).to_pylist()), np.float16).reshape(-1, dimensions).astype(np.float32)
+        x = np.concatenate((x, new))
+        own = np.concatenate((own, part.column(1).to_numpy(zero_copy_only=False)))
+        keys = part.column(3) if keys is None else pa.concat_arrays([keys, part.column(3)])
+        while len(x) >= at + BLOCK + margin:
+            yield from step(at + BLOCK)
+            at += BLOCK
+        if at > margin:
+            x, own, keys, at = x[at - margin :], own[at - margin :], keys.slice(at - margin), margin
     while at < len(x):
         to = min(at + BLOCK, len(x))
-        yield step(to)
+        yield from step(to)
         at = to
 
 
@@ -208,28 +236,38 @@ def merge_arrow(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
         yield merged(held)
 
 
-def nearest(df: DataFrame, key: str = "chunk_no", vector: str = "embedding", k: int = K, dimensions: int = DIMENSIONS, curves: int | None = None) -> DataFrame:
+def nearest(df: DataFrame, key: str = "chunk_no", vector: str = "embedding", k: int = K, dimensions: int = DIMENSIONS, curves: int | None = None, margin: int | None = None) -> DataFrame:
     """(key, neighbour, cosine, rank): up to ``k`` most similar other rows for every usable row.
 
     Usable are vectors of ``dimensions`` finite numbers that aren't all zero, of any norm;
     other rows (null vectors and keys too) take no part. Cosines are of vectors in half
     precision. Rows of equal vectors are neighbours like others; where more tie than fit,
     any of them come out. Rows that share a key are one row with several vectors. Fewer than
-    two usable rows give nothing.
+    two usable rows give nothing. Beyond ``CURVE_ROWS`` rows, ``margin`` grows in proportion
+    unless it is given, so that a window stays the same share of the rows.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vector"))
+    n = rows.count() if curves is None or margin is None else 0
     if curves is None:
-        curves = max(CURVES, math.ceil(CURVES * (rows.count() / CURVE_ROWS) ** 0.22))
+        curves = max(CURVES, math.ceil(CURVES * (n / CURVE_ROWS) ** 0.22))
+    if margin is None:
+        margin = max(MARGIN, math.ceil(MARGIN * n / CURVE_ROWS))
     kind = rows.schema["key"].dataType
     placed = rows.mapInArrow(lambda b: places_arrow(b, dimensions, curves), T.StructType([T.StructField("curve", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("key", kind), T.StructField("code", T.BinaryType())]))
-    ranged = placed.repartitionByRange("curve", "place", "key").sortWithinPartitions("curve", "place", "key")
-    lists = ranged.mapInArrow(lambda b: windows_arrow(b, dimensions, k), T.StructType([T.StructField("key", kind), T.StructField("near", T.ArrayType(kind)), T.StructField("cosine", T.ArrayType(T.FloatType()))]))
+    placed = placed.withColumn("place", F.shiftleft("place", 3).bitwiseOR(F.pmod(F.xxhash64("key"), F.lit(8))))  # equal vectors needn't share a tile
+    tiles, bounds = tile_bounds(placed, margin)
+    tiled = placed.mapInArrow(lambda b: tiles_arrow(b, tiles, bounds), T.StructType([T.StructField("tile", T.IntegerType()), T.StructField("own", T.BooleanType()), *placed.schema.fields[1:]]))
+    ranged = tiled.repartitionById(curves * tiles, "tile").sortWithinPartitions("place", "key")
+    lists = ranged.mapInArrow(lambda b: windows_arrow(b, dimensions, k, margin), T.StructType([T.StructField("key", kind), T.StructField("near", T.ArrayType(kind)), T.StructField("cosine", T.ArrayType(T.FloatType()))]))
     return lists.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: merge_arrow(b, k), T.StructType([T.StructField("key", kind), T.StructField("neighbour", kind), T.StructField("cosine", T.FloatType()), T.StructField("rank", T.IntegerType())]))
 
 
 def similar_pairs(df: DataFrame, threshold: float, key: str = "chunk_no", vector: str = "embedding", k: int = K, dimensions: int = DIMENSIONS, curves: int | None = None) -> DataFrame:
-    """(a, b), a < b: pairs of ``nearest`` with a cosine of ``threshold`` at least; those too close to it for half precision are decided by the stored vectors."""
-    found = nearest(df, key, vector, k, dimensions, curves).where(F.col("cosine") >= threshold - HALF_ERROR)
+    """(a, b), a < b: pairs of ``nearest`` with a cosine of ``threshold`` at least; those too close to it for half precision are decided by the stored vectors.
+
+    The margin stays as it is at any number of rows: what holds the recall of high cosines is the number of curves.
+    """
+    found = nearest(df, key, vector, k, dimensions, curves, MARGIN).where(F.col("cosine") >= threshold - HALF_ERROR)
     pairs = found.groupBy(F.least("key", "neighbour").alias("a"), F.greatest("key", "neighbour").alias("b")).agg(F.max("cosine").alias("cosine"))
     pairs = checkpointed(pairs)
     clear = pairs.where(F.col("cosine") > threshold + HALF_ERROR).select("a", "b")

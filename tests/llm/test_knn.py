@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 
+from chunkwright.llm import knn
 from chunkwright.llm.knn import hilbert_place, nearest, similar_pairs
 
 
@@ -50,6 +51,27 @@ def test_recall_and_pairs(spark):
     assert len(alone - pairs) <= len(alone) // 100 and (9100, 9101) in pairs
 
 
+def test_windows_reach_over_the_borders_of_tiles(spark, monkeypatch):
+    monkeypatch.setattr(knn, "TILE", 1)
+    monkeypatch.setattr(knn, "BLOCK", 1)
+    df, _ = frame(spark)
+    apart = {(r["key"], r["neighbour"]) for r in nearest(df, curves=1, margin=200).collect()}
+    monkeypatch.setattr(knn, "TILE", 100)
+    whole = {(r["key"], r["neighbour"]) for r in nearest(df, curves=1, margin=200).collect()}
+    assert len(apart & whole) >= 0.97 * len(whole) and len(apart) == len(whole)  # rows of equal cosine may differ
+
+
+def test_the_window_stays_the_same_share_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CURVE_ROWS", 300)
+    monkeypatch.setattr(knn, "MARGIN", 300)
+    df, x = frame(spark)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    kth = np.sort(s, axis=1)[:, -10]
+    hits = sum(r["key"] < 3000 and (r["neighbour"] >= 9000 or s[r["key"], r["neighbour"]] >= kth[r["key"]] - 1e-3) for r in nearest(df, curves=2).collect())
+    assert hits >= 0.95 * 30_000
+
+
 def test_small_tables(spark):
     df, _ = frame(spark)
     assert nearest(df.limit(0)).count() == 0
