@@ -61,3 +61,13 @@ def test_large_classes_become_stars(spark, limit):
     differing = {tuple(r) for r in class_pairs(df, "k", differ="v", max_full=limit).collect()}
     assert differing == {(0, i) for i in range(1, 10, 2)} | {(1, i) for i in range(2, 10, 2)}
     assert class_pairs(df.limit(0), "k").count() == 0
+
+
+def test_every_pair_of_a_large_class(spark):
+    rows = [(i, "c", "v%d" % (i % 3)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k bigint, class_id string, v string")
+    got = class_pairs(df, "k", differ="v")
+    assert got.count() == got.distinct().count() == 3 * 500 * 500
+    assert got.where("k_a % 3 = k_b % 3 OR k_a >= k_b").count() == 0
+    star = {tuple(r) for r in class_pairs(df, "k", differ="v", max_full=10).collect()}
+    assert {(0, 1), (0, 2), (1, 2)} <= star
