@@ -37,8 +37,8 @@ BITS = 512
 SLACK = 4.5
 #: Buckets with more members are compared in blocks of about this many, spread over tasks.
 BLOCK = 512
-#: Classes of more exact copies than this are written as a star around their representative.
-MAX_COPIES = 64
+#: Classes of more copies meet the classes they are linked to in blocks of about this many.
+COPIES_BLOCK = 1000
 
 TERM = re.compile(r"[^\W_]+")
 
@@ -256,15 +256,24 @@ class NearDuplicates:
 
         return dealt.groupBy("band", "_i", "_j").applyInPandas(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)])).where("a != b")
 
-    def pairs(self, max_copies: int = MAX_COPIES) -> DataFrame:
+    def pairs(self, max_copies: int | None = None) -> DataFrame:
         """(a, b): pairs of rows, copies included.
 
-        A class of up to ``max_copies`` rows takes part with every row; a larger one with
-        its representative, to which its other rows are linked.
+        Every row of a class takes part, so pairs are quadratic in its rows; large classes
+        are joined in blocks. With ``max_copies``, a class of more rows takes part with its
+        representative only, to which its other rows are linked, whether they are exact
+        copies or differ in case, punctuation or repetition.
         """
-        small = self.copies.where(F.col("n") <= max_copies).select("key", "class_key")
-        as_a, as_b = small.select(F.col("class_key").alias("a"), F.col("key").alias("_ka")), small.select(F.col("class_key").alias("b"), F.col("key").alias("_kb"))
-        spread = self.links.select("a", "b").join(as_a, "a", "left").join(as_b, "b", "left").select(F.coalesce("_ka", "a").alias("x"), F.coalesce("_kb", "b").alias("y"))
+        copies = self.copies if max_copies is None else self.copies.where(F.col("n") <= max_copies)
+        blocks = F.ceil(F.col("n") / COPIES_BLOCK).cast("int")
+        dealt = copies.select("key", "class_key", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("_of"))
+        counts = copies.select("class_key", blocks.alias("_g")).distinct()
+        as_a, as_b = (dealt.select(F.col("class_key").alias(x), F.col("_of").alias(f"_{x}_of"), F.col("key").alias(f"_k{x}")) for x in ("a", "b"))
+        spread = self.links.select("a", "b")
+        for x in ("a", "b"):
+            spread = spread.join(counts.select(F.col("class_key").alias(x), F.col("_g").alias(f"_{x}_g")), x, "left").withColumn(f"_{x}_of", F.explode(F.sequence(F.lit(0), F.coalesce(f"_{x}_g", F.lit(1)) - 1)))
+        spread = spread.join(as_a, ["a", "_a_of"], "left").join(as_b, ["b", "_b_of"], "left").where("(_a_g IS NULL OR _ka IS NOT NULL) AND (_b_g IS NULL OR _kb IS NOT NULL)")
+        spread = spread.select(F.coalesce("_ka", "a").alias("x"), F.coalesce("_kb", "b").alias("y"))
         within = class_pairs(self.copies, "key", "class_key", max_full=max_copies)
         return spread.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(within.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
 

@@ -57,6 +57,13 @@ def test_many_copies_become_a_star(spark):
     assert {r["group_key"] for r in found.groups().collect()} == {0}
 
 
+def test_every_pair_of_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COPIES_BLOCK", 7)
+    rows = [(i, ["One two three four five", "one, two: three four five\r\n", "ONE TWO THREE FOUR FIVE"][i % 3]) for i in range(70)] + [(100 + i, "one two three four five six" + "!" * i) for i in range(66)] + [(200, "one two three four five six seven")]
+    got = [tuple(r) for r in NearDuplicates(spark.createDataFrame(rows, "chunk_no bigint, text string")).pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == similar(rows) and len(got) > 9000
+
+
 def test_empty_table_and_bounds(spark):
     df = spark.createDataFrame([], "chunk_no bigint, text string")
     found = NearDuplicates(df)
