@@ -384,6 +384,13 @@ def simple_sections(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("document", "start_page", "end_page", F.size("page_texts").cast("bigint").alias("n_pages"), F.array_join(F.transform("page_texts", lambda p: p["text"]), " ").alias("text"))
 
 
+@_registered
+def simple_sections_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """As simple_sections, with the first pages."""
+    found = layout.simple_sections(words(spark, folder))
+    return found.select("document", "start_page", "end_page", F.size("page_texts").cast("bigint").alias("n_pages"), F.array_join(F.transform("page_texts", lambda p: p["text"]), " ").alias("text"))
+
+
 @_registered
 def sections_by_format(spark: SparkSession, folder: str) -> DataFrame:
     found = layout.format_sections(words(spark, folder), max_depth=2)

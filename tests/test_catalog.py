@@ -40,6 +40,14 @@ def test_query_equals_sql(spark, name):
     assert sorted(rows, key=order) == sorted(want, key=order)
 
 
+@needs_data
+def test_whole_sections_have_every_document_and_word(spark):
+    got = {r["document"]: r for r in entry.catalog.queries()["simple_sections_whole"](spark, str(FOLDER)).collect()}
+    texts = {str(r["doc_id"]): r["text"] for r in spark.read.parquet(str(FOLDER / "documents.parquet")).where(r"text RLIKE '\\S'").collect()}
+    assert got.keys() == texts.keys() and len(got) > 50
+    assert all(got[k]["text"].split() == t.split() for k, t in texts.items())
+
+
 @needs_data
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
