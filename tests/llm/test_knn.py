@@ -53,6 +53,7 @@ def test_recall_and_pairs(spark):
 
 def test_windows_reach_over_the_borders_of_tiles(spark, monkeypatch):
     monkeypatch.setattr(knn, "TILE", 1)
+    monkeypatch.setattr(knn, "TILE_ROWS", 1)
     monkeypatch.setattr(knn, "BLOCK", 1)
     df, _ = frame(spark)
     apart = {(r["key"], r["neighbour"]) for r in nearest(df, curves=1, margin=200).collect()}
@@ -61,15 +62,30 @@ def test_windows_reach_over_the_borders_of_tiles(spark, monkeypatch):
     assert len(apart & whole) >= 0.97 * len(whole) and len(apart) == len(whole)  # rows of equal cosine may differ
 
 
-def test_the_window_stays_the_same_share_of_the_rows(spark, monkeypatch):
-    monkeypatch.setattr(knn, "CURVE_ROWS", 300)
-    monkeypatch.setattr(knn, "MARGIN", 300)
+def test_fitted_windows_hold_the_recall(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 64)
     df, x = frame(spark)
     s = x @ x.T
     np.fill_diagonal(s, -2)
     kth = np.sort(s, axis=1)[:, -10]
-    hits = sum(r["key"] < 3000 and (r["neighbour"] >= 9000 or s[r["key"], r["neighbour"]] >= kth[r["key"]] - 1e-3) for r in nearest(df, curves=2).collect())
-    assert hits >= 0.95 * 30_000
+    curves, margin = knn.fitted_windows(knn._rows(df, "chunk_no", "embedding"), 10, 64)
+    assert curves * (2 * margin + 64) < 10 * 3000
+    results = []
+    for parts in (3, 50):
+        found = nearest(df.repartition(parts)).collect()
+        results.append({(r["key"], r["neighbour"]) for r in found})
+        hits = sum(r["key"] < 3000 and (r["neighbour"] >= 9000 or s[r["key"], r["neighbour"]] >= kth[r["key"]] - 1e-3) for r in found)
+        assert hits >= 0.9 * 30_000
+    assert len(results[0] & results[1]) >= 0.97 * len(results[0])  # only rows of equal cosine differ
+    assert knn.fitted_windows(knn._rows(df.limit(0), "chunk_no", "embedding"), 10, 64) == (1, 1)
+
+
+def test_many_equal_vectors(spark):
+    rng = np.random.default_rng(5)
+    one = rng.standard_normal(64)
+    rows = [(i, (one if i % 3 else rng.standard_normal(64)).tolist()) for i in range(1500)]
+    found = nearest(spark.createDataFrame(rows, "chunk_no bigint, embedding array<float>")).where("cosine > 0.999").groupBy("key").count().collect()
+    assert {r["key"] for r in found} == {i for i in range(1500) if i % 3} and {r["count"] for r in found} == {10}
 
 
 def test_small_tables(spark):
