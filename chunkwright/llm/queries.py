@@ -18,6 +18,7 @@ from chunkwright.llm.packing import containers, pack, packed_texts
 from chunkwright.llm.pairs import class_pairs
 from chunkwright.llm.split import split_chunks, split_oversized
 from chunkwright.llm.terms import log_entropy
+from chunkwright.operators.skew import with_key_totals
 from chunkwright.session import checkpointed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,6 +127,14 @@ def p9_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return canonicalize(_table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "canonical")
 
 
+def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document with the first of those that read the same, and the characters of its form."""
+    forms = checkpointed(canonicalize(_table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", "text")).select("doc_id", F.md5("canonical").alias("_c"), F.length("canonical").cast("bigint").alias("n_chars")))
+    sized = with_key_totals(forms, ["_c"], "doc_id", {"n_rows": F.lit(1)})
+    firsts = forms.groupBy("_c").agg(F.min("doc_id").alias("first_doc_id"))
+    return sized.join(firsts, "_c").select("doc_id", "first_doc_id", "n_rows", "n_chars")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1:2].isdigit() and callable(f)}
 

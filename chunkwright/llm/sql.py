@@ -2,7 +2,30 @@
 
 from __future__ import annotations
 
-from chunkwright.llm.canonical import canonical_sql, skeleton_sql
+import unicodedata
+
+# Latin letters, each with the Cyrillic and Greek letters of its shape; kept apart from the operator's own table, which it checks.
+_SHAPES = (
+    "AАΑ BВΒ CС EЕΕ HНΗ IІӀΙ JЈ KКΚ MМΜ NΝ OОΟ PРΡ QԚ SЅ TТΤ WԜ XХΧ YҮΥ ZΖ GԌ aа cс dԁ eе hһ iі jјϳ lӏ oоο pр qԛ sѕ wԝ xх yу"
+)
+
+
+def _reading(column: str) -> str:
+    """What a text reads like, letter by letter: no invisible characters, plain spaces, widths and ligatures undone, Latin letters for all of their shape."""
+    shapes = {x: group[0] for group in _SHAPES.split() for x in group[1:]}
+    to = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (*range(0xFB00, 0xFB07), *range(0xFF01, 0xFFA0), *range(0xFFA1, 0xFFEF))}
+    for c in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", chr(c))
+        if base in shapes:
+            to[chr(c)] = unicodedata.normalize("NFC", shapes[base] + "".join(marks))
+    text = f"regexp_replace(regexp_replace({column}, '[\\p{{Cf}}\\x{{34F}}\\x{{115F}}\\x{{1160}}\\x{{3164}}\\x{{FFA0}}\\x{{180B}}-\\x{{180F}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g'), '\\p{{Zs}}', ' ', 'g')"
+    for a, b in to.items():
+        if len(b) > 1:
+            text = f"replace({text}, '{a}', '{b}')"
+    single = {a: b for a, b in to.items() if len(b) == 1 and a != b}
+    quoted = "".join(single.values()).replace("'", "''")
+    return f"nfc_normalize(translate({text}, '{''.join(single)}', '{quoted}'))"
+
 
 _TERMS = r"""
 tok AS (SELECT chunk_no, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM chunks),
@@ -36,7 +59,8 @@ SQL: dict[str, str] = {
     "p7_found": "SELECT doc_id FROM documents WHERE strlen(text) > 8192",
     "p8_found": """WITH s AS (SELECT source, sum(coalesce(strlen(text), 0)) AS size FROM documents GROUP BY 1), t AS (SELECT sum(size) AS total FROM s)
         SELECT m.source FROM mix_targets m LEFT JOIN s USING (source), t WHERE coalesce(size, 0) * max_repeats * 1000 < target_permille * total""",
-    "p9_found": f"""WITH s AS (SELECT doc_id, text, {skeleton_sql("text")} AS k FROM documents WHERE text IS NOT NULL)
+    "p9_found": f"""WITH s AS (SELECT doc_id, text, {_reading("text")} AS k FROM documents WHERE text IS NOT NULL)
         SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id AND a.text <> b.text""",
-    "p9_canonical": canonical_sql("text", "(SELECT doc_id AS n, text FROM documents)").replace("SELECT CASE", "SELECT p.n AS doc_id, CASE").replace(" ORDER BY p.n", ""),
+    "p9_classes": f"""WITH s AS (SELECT doc_id, text, {_reading("text")} AS k FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS first_doc_id, count(*) OVER (PARTITION BY k) AS n_rows, length({_reading("text")}) AS n_chars FROM s""",
 }

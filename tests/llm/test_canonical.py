@@ -1,8 +1,11 @@
+import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from chunkwright.llm.canonical import canonicalize, same_reading
+from chunkwright.llm.canonical import canonical_arrow, canonicalize, same_reading
 from chunkwright.llm.pairs import class_pairs
 
 
@@ -45,6 +48,22 @@ def test_null_empty_long_and_clashing_columns(spark):
     assert again.where("NOT canonical <=> twice").count() == 0
 
 
+def test_batches_of_long_texts(spark):
+    one = "Длинный текст о cистеме, кaк eго читают. " * 500
+    df = spark.range(2000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit(one).alias("text"))
+    assert canonicalize(df).select("canonical").distinct().count() == 1
+
+
+def test_a_text_larger_than_a_slice_follows_the_whole_of_it():
+    rng = random.Random(3)
+    parts = ["Длинный ", "CO ", "кaк\n", "cafe\u0301, ", "plain text. ", "ﬁn ", "ОНА ", "\u200b", "Ж", "é。", "ガ"]
+    for weights in ((9, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1), (1, 1, 1, 1, 9, 1, 1, 1, 1, 1, 1)):
+        text = "".join(rng.choices(parts, weights, k=3000))
+        batch = pa.RecordBatch.from_arrays([pa.array([None, text, "", text[:50]])], names=["text"])
+        whole, cut = (next(canonical_arrow(iter([batch]), "text", "out", most=most)).column("out").to_pylist() for most in (1 << 20, 900))
+        assert whole == cut and whole[1] != text and whole[0] is None and whole[2] == ""
+
+
 def test_pairs_of_documents(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "аb"), (3, "ab"), (4, "a​b"), (5, "zz"), (6, None), (7, "zz")], "doc_id bigint, text string")
     classes = same_reading(df)
