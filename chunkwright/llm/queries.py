@@ -91,8 +91,8 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_sequences(spark: SparkSession, folder: str) -> DataFrame:
     spans = prefix_span(checkpointed(frequent_lines(_table(spark, folder, "chunks").select("chunk_no", "text", "source_document"))))
-    pattern = F.array_join(F.transform("pattern", lambda i: i["a"].cast("string")), " ")
-    return spans.groupBy(pattern.alias("pattern"), F.size("pattern").alias("length")).agg(F.count("*").alias("rows"), F.min("chunk_no").alias("first_chunk_no"))
+    first = F.array_join(F.min_by("at", "chunk_no"), " ")
+    return spans.groupBy("pattern").agg(F.size(F.first("pattern")).alias("length"), F.count("*").alias("rows"), F.min("chunk_no").alias("first_chunk_no"), first.alias("first_lines")).drop("pattern")
 
 
 def p7_packed(spark: SparkSession, folder: str) -> DataFrame:

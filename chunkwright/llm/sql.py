@@ -56,6 +56,13 @@ SQL: dict[str, str] = {
     "p6_clean": f"""WITH {_LINES}, gone AS (SELECT chunk_no, count(*) AS n FROM found GROUP BY 1),
         kept AS (SELECT l.chunk_no, string_agg(line, chr(10) ORDER BY l.line_no) AS t FROM l LEFT JOIN found ON found.chunk_no = l.chunk_no AND found.line_no = l.line_no WHERE found.chunk_no IS NULL GROUP BY 1)
         SELECT c.chunk_no, CASE WHEN gone.n > 0 THEN coalesce(kept.t, '') ELSE c.text END AS text, coalesce(gone.n, 0)::INTEGER AS lines_removed FROM chunks c LEFT JOIN gone USING (chunk_no) LEFT JOIN kept USING (chunk_no)""",
+    "p6_sequences": f"""WITH RECURSIVE {_LINES}, fl AS (SELECT source_document, form, f.chunk_no, f.line_no FROM f JOIN often USING (source_document, form)),
+        pat AS (SELECT source_document, [form] AS p, chunk_no, [min(line_no)] AS ats FROM fl GROUP BY source_document, form, chunk_no UNION ALL
+            SELECT source_document, p, chunk_no, ats FROM (SELECT *, count(*) OVER (PARTITION BY source_document, p) AS n FROM (
+                SELECT source_document, list_append(p, form) AS p, chunk_no, list_append(ats, min(line_no)) AS ats FROM pat JOIN fl USING (source_document, chunk_no) WHERE line_no > ats[-1] GROUP BY source_document, p, form, chunk_no, ats)) WHERE n >= 10),
+        sup AS (SELECT source_document, p, count(*) AS rows, min(chunk_no) AS first_chunk_no, array_to_string(arg_min(ats, chunk_no), ' ') AS first_lines FROM pat GROUP BY ALL),
+        parts AS (SELECT DISTINCT source_document, rows, list_concat(p[:i - 1], p[i + 1:]) AS p FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM sup WHERE len(p) > 1))
+        SELECT len(p)::INTEGER AS length, rows, first_chunk_no, first_lines FROM sup WHERE NOT EXISTS (SELECT 1 FROM parts WHERE parts.source_document = sup.source_document AND parts.rows = sup.rows AND parts.p = sup.p)""",
     "p7_found": "SELECT doc_id FROM documents WHERE strlen(text) > 8192",
     "p8_found": """WITH s AS (SELECT source, sum(coalesce(strlen(text), 0)) AS size FROM documents GROUP BY 1), t AS (SELECT sum(size) AS total FROM s)
         SELECT m.source FROM mix_targets m LEFT JOIN s USING (source), t WHERE coalesce(size, 0) * max_repeats * 1000 < target_permille * total""",
