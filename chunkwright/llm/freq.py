@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkwright.llm.terms import records_with_terms, term_rows
+from chunkwright.llm.terms import TERM_BYTES, records_with_terms, term_rows
+from chunkwright.operators.skew import partitions_for
 
 #: Rarer than this, or in a larger share of the records, and a term is of no use.
 RARE_ROWS = 2
@@ -60,7 +61,7 @@ def term_frequencies(df: DataFrame, key: str = "chunk_no", text: str = "text", r
     """
     known = df.where(F.col(key).isNotNull())
     pairs = term_rows(known, key, text).select("term", key)
-    runs = pairs.repartitionByRange("term", key).sortWithinPartitions("term", key).mapInArrow(run_lengths, "term string, occurrences bigint, rows bigint")
+    runs = pairs.repartitionByRange(partitions_for(known.select(key, text), TERM_BYTES), "term", key).sortWithinPartitions("term", key).mapInArrow(run_lengths, "term string, occurrences bigint, rows bigint")
     whole = runs.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("rows").alias("rows"))
     n = records_with_terms(known, key, text).scalar()
     mark = F.when(F.col("rows") <= rare_rows, "rare").when(F.col("rows") * 1000 > n * common_permille, "common").otherwise("useful")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from chunkwright.functions.text import size_tokens
 from chunkwright.operators.positions import with_offsets
+from chunkwright.session import checkpointed
 
 BLOCK = 1024
 SHARD_SLOTS = 4096
@@ -48,17 +49,41 @@ def permuted(index: np.ndarray, n: int, seed: int | list[int]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _marked(marked: int, others: int, drawn: int, rng: np.random.Generator) -> int:
+    """How many of ``drawn`` slots out of ``marked`` and ``others`` are marked: a hypergeometric draw.
+
+    The generator's own stops at 10 ** 9. Beyond, the draw is binomial where few are marked
+    or drawn (or few are not), else normal, with the same mean and variance; both are within
+    a thousandth of the exact law there.
+    """
+    total = marked + others
+    if total < 1_000_000_000:
+        return int(rng.hypergeometric(marked, others, drawn))
+    mean = drawn * (marked / total)
+    spread = mean * (others / total) * ((total - drawn) / (total - 1))
+    least, most = max(0, drawn - others), min(marked, drawn)
+    if spread > 1_000_000:
+        n = round(mean + float(rng.standard_normal()) * spread**0.5)
+    else:
+        if 2 * drawn > total:
+            return marked - _marked(marked, others, total - drawn, rng)
+        if 2 * marked > total:
+            return drawn - _marked(others, marked, drawn, rng)
+        few, many = sorted((marked, drawn))
+        n = int(rng.binomial(few, many / total))
+    return min(most, max(least, n))
+
+
 def _draw(quota: np.ndarray, slots: int, rng: np.random.Generator) -> np.ndarray:
-    """How a node's first ``slots`` slots fall on the sources."""
-    total = int(quota.sum())
-    if slots >= total:
+    """How a node's first ``slots`` slots fall on the sources: each source's share is drawn given those before it."""
+    others = int(quota.sum())
+    if slots >= others:
         return quota.copy()
-    if total < 900_000_000:
-        return rng.multivariate_hypergeometric(quota, slots, method="marginals")
-    share = quota * (slots / total)  # at this size the draw's spread is below a ten-thousandth
-    out = np.minimum(np.floor(share).astype(np.int64), quota)
-    for i in np.argsort(out - share)[: slots - int(out.sum())]:
-        out[i] += 1
+    out = np.zeros_like(quota)
+    for i, marked in enumerate(quota.tolist()):
+        others -= marked
+        out[i] = _marked(marked, others, slots, rng) if slots else 0
+        slots -= int(out[i])
     return out
 
 
@@ -87,28 +112,38 @@ class Plan:
     quota: tuple[int, ...]
     total: int
 
-    def short(self, i: int) -> bool:
-        return self.sizes[i] * self.repeats[i] * 1000 < self.permille[i] * self.total
+
+def sized(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(source, key, _size) of every row, checkpointed: texts are read once, and what follows works on their sizes."""
+    return checkpointed(df.select(F.col(source).alias("source"), F.col(key), size_tokens(F.col(text)).alias("_size")))
+
+
+def slots_needed(target: int, size: int, repeats: int, block: int) -> int:
+    """The slots that surely hold ``target`` tokens of a source, whichever of its blocks they get, or all it may give: the last block of a source may be short."""
+    n = -(-size // block)
+    if size * repeats <= target:
+        return n * repeats
+    times, rest = divmod(target, size)
+    return times * n + min(n, -(-(rest + n * block - size) // block) if rest else 0)
 
 
-def plan_mix(df: DataFrame, targets: DataFrame, text: str = "text", source: str = "source", block: int = BLOCK) -> Plan:
-    """Measures the sources and sets each one's quota: its share of the total size in slots, or all its blocks as often as allowed if that isn't enough."""
+def plan_mix(sizes: DataFrame, targets: DataFrame, block: int = BLOCK) -> Plan:
+    """Adds up the sources of ``sized`` and sets each one's quota: the slots that hold its share of the total size, or all its blocks as often as allowed if that isn't enough."""
     listed = targets.groupBy("source").agg(F.sum("target_permille").alias("p"), F.max("max_repeats").alias("r")).where("source IS NOT NULL")
-    sized = df.groupBy(F.col(source).alias("source")).agg(F.sum(size_tokens(F.col(text))).alias("size"))
-    total = df.agg(F.coalesce(F.sum(size_tokens(F.col(text))), F.lit(0))).first()[0]
-    rows = listed.join(sized, "source", "left").select("source", "p", "r", F.coalesce("size", F.lit(0)).alias("size")).orderBy("source").limit(MAX_TARGETS + 1).collect()
+    by_source = sizes.groupBy("source").agg(F.sum("_size").alias("size"))
+    total = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    rows = listed.join(by_source, "source", "left").select("source", "p", "r", F.coalesce("size", F.lit(0)).alias("size")).orderBy("source").limit(MAX_TARGETS + 1).collect()
     if len(rows) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} sources have targets")
     blocks = [-(-r["size"] // block) for r in rows]
     p, times = [max(0, r["p"] or 0) for r in rows], [max(0, r["r"] or 0) for r in rows]
-    quota = [min((x * total + 500 * block) // (1000 * block), b * t) if r["size"] * t * 1000 >= x * total else b * t for r, b, x, t in zip(rows, blocks, p, times, strict=True)]
+    quota = [slots_needed(-(-x * total // 1000), r["size"], t, block) for r, x, t in zip(rows, p, times, strict=True)]
     return Plan(tuple(r["source"] for r in rows), tuple(p), tuple(times), tuple(r["size"] for r in rows), tuple(blocks), tuple(quota), total)
 
 
-def blocks(df: DataFrame, plan: Plan, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
+def blocks(sizes: DataFrame, plan: Plan, key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """(source, block, part, key, byte_start, byte_length): what each block of each listed source is made of, in order."""
-    rows = df.select(F.col(source).alias("source"), F.col(key), size_tokens(F.col(text)).alias("_size")).where(F.col("_size") > 0)
-    rows = rows.where(F.col("source").isin([s for s, q in zip(plan.sources, plan.quota, strict=True) if q]))
+    rows = sizes.where(F.col("_size") > 0).where(F.col("source").isin([s for s, q in zip(plan.sources, plan.quota, strict=True) if q]))
     placed = with_offsets(rows.withColumn("_h", F.xxhash64(key)), ["source"], ["_h", key, "_size"], F.col("_size"), "_from", "_all")
     cut = placed.withColumn("block", F.explode(F.sequence(F.expr(f"_from div {block}"), F.expr(f"(_from + _size - 1) div {block}"))))
     start = F.greatest(F.col("_from"), F.col("block") * block)
@@ -145,28 +180,27 @@ def mix(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "tex
     """The mixture as (shard, slot, source, repeat, block, part, key, byte_start, byte_length) and its plan.
 
     Rows refer to bytes of the stored texts; ``part`` orders them inside their block. Every
-    source gets its share of the total size of all rows, to a block; one that can't even with
+    source gets its share of the total size of all rows, and two blocks more at most; one that can't even with
     all repeats gives all it has that often, and what is missing is not made up from others.
     Null and empty texts and rows of unlisted or null sources have no part in it but count
     to the total. Rows that repeat a key are rows of their own. Empty tables give no rows.
     """
-    plan = plan_mix(df, targets, text, source, block)
-    made = blocks(df, plan, key, text, source, block)
+    sizes = sized(df, key, text, source)
+    plan = plan_mix(sizes, targets, block)
+    made = blocks(sizes, plan, key, block)
     # the optimizer takes the slots for as few as the shards they are made from and would broadcast them
     return slots(df, plan, shard_slots, seed).join(made.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "repeat", "block", "part", key, "byte_start", "byte_length"), plan
 
 
 def mix_report(df: DataFrame, targets: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 17) -> DataFrame:
-    """For each source of the targets: size, target, the size and share of the total that the mixture really holds, and whether it falls short of the target with all repeats."""
+    """For each source of the targets: size, target, the size and share of the total that the mixture really holds, and whether that falls short of the target."""
     mixed, plan = mix(df, targets, key, text, source, block, shard_slots, seed)
     reached = mixed.groupBy("source").agg(F.sum("byte_length").alias("_reached"))
-    rows = [(s, p, r, z, plan.short(i)) for i, (s, p, r, z) in enumerate(zip(plan.sources, plan.permille, plan.repeats, plan.sizes, strict=True))]
-    base = df.sparkSession.createDataFrame(rows, "source string, target_permille int, max_repeats int, source_size bigint, _rule boolean")
+    base = df.sparkSession.createDataFrame(list(zip(plan.sources, plan.permille, plan.repeats, plan.sizes, strict=True)), "source string, target_permille int, max_repeats int, source_size bigint")
     out = base.join(reached, "source", "left").withColumn("reached_size", F.coalesce("_reached", F.lit(0)))
     whole = F.lit(float(plan.total or 1))
-    # the mixture falls short by more than a block's rounding only where the exact rule says so
-    missing = F.col("reached_size") * 1000 < F.col("target_permille").cast("bigint") * F.lit(plan.total)
-    return out.select("source", "target_permille", "max_repeats", "source_size", "reached_size", F.round(F.col("reached_size") * 1000 / whole, 4).alias("reached_permille"), (missing & F.col("_rule")).alias("short"))
+    short = F.col("reached_size") * 1000 < F.col("target_permille").cast("bigint") * F.lit(plan.total)
+    return out.select("source", "target_permille", "max_repeats", "source_size", "reached_size", F.round(F.col("reached_size") * 1000 / whole, 4).alias("reached_permille"), short.alias("short"))
 
 
 def mixed_tokens(mixed: DataFrame, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

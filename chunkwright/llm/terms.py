@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkwright.functions.text import BETWEEN_TERMS
-from chunkwright.operators.skew import grouped_with_totals
+from chunkwright.operators.skew import grouped_with_totals, partitions_for
+
+#: Bytes that the pairs of term and record take in a shuffle for each byte of the stored table.
+TERM_BYTES = 4
 
 
 def term_rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -34,9 +37,11 @@ def log_entropy(df: DataFrame, key: str = "chunk_no", text: str = "text") -> Dat
     keys. Other columns are ignored.
     """
     known = df.where(F.col(key).isNotNull())
+    partitions = partitions_for(known.select(key, text), TERM_BYTES)
     counted = grouped_with_totals(
         term_rows(known, key, text), ["term"], key, {"tf": F.count(F.lit(1))},
         {"df": F.lit(1), "gf": F.col("tf"), "_tlogt": F.when(F.col("tf") > 1, F.col("tf") * F.log(F.col("tf").cast("double"))).otherwise(0.0)},
+        partitions=partitions,
     )
     n = F.log(records_with_terms(known, key, text).scalar().cast("double"))
     entropy = F.log(F.col("gf").cast("double")) - F.col("_tlogt") / F.col("gf")

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from chunkwright.llm.mixing import mix, mix_report, mixed_tokens, permuted, shard_draw
+from chunkwright.llm.mixing import _marked, mix, mix_report, mixed_tokens, permuted, shard_draw, slots_needed
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 100, 1000, 4097])
@@ -21,6 +21,38 @@ def test_draws_add_up_to_the_quotas():
     assert (at == quota).all()
 
 
+@pytest.mark.parametrize(("marked", "others", "drawn"), [(2 * 10**9, 3 * 10**9, 10**9), (5, 10**12, 4 * 10**11), (10**12, 7, 6 * 10**11), (10**12, 10**12, 9), (10**11, 10**6, 10**11)])
+def test_draws_of_any_size(marked, others, drawn):
+    rng = np.random.default_rng(1)
+    got = np.array([_marked(marked, others, drawn, rng) for _ in range(2000)], float)
+    total = marked + others
+    mean, var = drawn * marked / total, drawn * marked / total * (others / total) * ((total - drawn) / (total - 1))
+    assert abs(got.mean() - mean) < 5 * (var / 2000) ** 0.5 + 1e-9 * mean and 0.8 * var < got.var() < 1.2 * var
+    assert got.min() >= max(0, drawn - others) and got.max() <= min(marked, drawn)
+
+
+def test_draws_of_huge_mixtures_add_up():
+    quota = np.array([10**12, 10**10, 3, 0])
+    shards = -(-int(quota.sum()) // 4096)
+    before, drawn = shard_draw(shards // 3, shards, 4096, quota, 3)
+    after, _ = shard_draw(shards // 3 + 1, shards, 4096, quota, 3)
+    assert drawn.sum() == 4096 and (before + drawn == after).all()
+    other, _ = shard_draw(shards // 3, shards, 4096, quota, 4)
+    assert (other != before).any()
+
+
+@pytest.mark.parametrize("size", [1, 63, 64, 65, 1000])
+def test_slots_hold_the_target_whichever_blocks_they_are(size):
+    n = -(-size // 64)
+    for target in range(0, 3 * size + 2):
+        q = slots_needed(target, size, 3, 64)
+        assert 0 <= q <= 3 * n
+        times, rest = divmod(q, n)
+        worst = times * size + (min(rest * 64, rest * 64 - (n * 64 - size)) if rest else 0)
+        assert worst >= min(target, 3 * size)
+        assert q * 64 <= target + 2 * 64 + (times + 1) * (n * 64 - size)
+
+
 def corpus(spark):
     rows = [(i, "a" * 700, "big") for i in range(200)] + [(1000 + i, "é" * 150, "small") for i in range(10)] + [(2000, None, "big"), (2001, "", "small"), (2002, "z" * 999, None), (2003, "q" * 500, "unlisted"), (2003, "q" * 500, "unlisted")]
     targets = [("big", 500, 1), ("small", 400, 3), ("none", 100, 2)]

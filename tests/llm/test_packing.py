@@ -4,7 +4,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chunkwright.llm.packing import best_fit, bin_completion, containers, cut_points, pack, packed_texts
+from chunkwright.llm.packing import Budget, best_fit, bin_completion, containers, cut_points, fillings, pack, packed_texts
 
 
 def fewest(sizes, capacity):
@@ -25,6 +25,50 @@ def test_as_few_containers_as_any_assignment(sizes):
     assert len(bins) == fewest(sizes, 20)
 
 
+def undominated(rest, room):
+    """Fillings by size for which no set of items left out, each in place of items taken that together aren't larger, fills more, by trying all."""
+    sets = {}
+    for n in range(len(rest) + 1):
+        for at in itertools.combinations(range(len(rest)), n):
+            if sum(rest[i] for i in at) <= room:
+                sets[tuple(sorted((rest[i] for i in at), reverse=True))] = at
+
+    def dominated(taken):
+        left = list(rest)
+        for x in taken:
+            left.remove(x)
+        free = room - sum(taken)
+        for n in range(len(taken) + 1):
+            for away in itertools.combinations(taken, n):
+                if any(sum(away) <= x <= sum(away) + free and (x > sum(away) or n > 1) for x in left):
+                    return True
+        return False
+
+    return {f for f in sets if not dominated(f)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=7), st.integers(0, 30))
+def test_every_undominated_filling_comes_once(rest, room):
+    found = list(fillings(sorted(rest), room, room, Budget(None)))
+    assert len(set(found)) == len(found) and set(found) == undominated(sorted(rest), room)
+    waste = [room - sum(f) for f in found]
+    few = list(fillings(sorted(rest), room, min(2, room), Budget(None)))
+    assert set(few) == {f for f, w in zip(found, waste) if w <= 2}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=6))
+def test_a_search_to_the_end_is_exact(sizes):
+    assert len(bin_completion(sizes, 20, None)) == fewest(sizes, 20)
+
+
+def test_many_small_items_are_searched_too():
+    rng = random.Random(4)
+    sizes = [rng.randint(1, 100) for _ in range(3000)]
+    assert len(bin_completion(sizes, 8192)) == -(-sum(sizes) // 8192)
+
+
 def test_the_search_beats_best_fit():
     sizes = [6, 5, 5, 4, 4, 3, 3]  # best fit needs 4 containers of 10
     assert len(best_fit(sizes, 10)) >= len(bin_completion(sizes, 10)) == 3
@@ -32,7 +76,7 @@ def test_the_search_beats_best_fit():
     better = 0
     for _ in range(30):
         sizes = [rng.randint(20, 70) for _ in range(40)]
-        a, b = len(best_fit(sizes, 100)), len(bin_completion(sizes, 100, 3000))
+        a, b = len(best_fit(sizes, 100)), len(bin_completion(sizes, 100, 30_000))
         assert b <= a
         better += b < a
     assert better
@@ -75,6 +119,14 @@ def test_rows(spark):
     assert texts == {k: t for k, t in rows if k != 5}
 
 
+def test_a_key_with_most_rows_is_spread(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, "x" * 4000) for i in range(200)], "doc_id bigint, text string")
+    shards = {}
+    for r in pack(df, shard_rows=20).collect():
+        shards[r["container"] >> 32] = shards.get(r["container"] >> 32, 0) + 1
+    assert len(shards) == 10 and max(shards.values()) < 60
+
+
 def test_keys_may_be_missing_or_large(spark):
     df = spark.createDataFrame([(None, "a" * 9000), (2**62 + 1, "b"), (None, None)], "doc_id bigint, text string")
     out = sorted((r["doc_id"] or 0, r["size"], r["container"] is None) for r in pack(df).collect())
