@@ -59,8 +59,8 @@ class Budget:
         return self.left < 0
 
 
-def fillings(rest: list[int], room: int, most_waste: int, budget: Budget) -> Iterator[tuple[int, ...]]:
-    """Every undominated filling of ``room`` from the ascending sizes ``rest`` that leaves ``most_waste`` empty at most, those that leave least before the others, until the budget ends.
+def fillings(rest: list[int], room: int, most_waste: int, budget: Budget, fair: int = 0) -> Iterator[tuple[int, ...]]:
+    """Every undominated filling of ``room`` from the ascending sizes ``rest`` that leaves ``most_waste`` empty at most, until the budget ends: first those that leave ``fair``, a container's even share of the waste, then those of eight times that, then the others.
 
     Each step takes the largest item that fits, and branches on leaving out all of its size;
     branches that can't become full enough are left at once.
@@ -69,7 +69,7 @@ def fillings(rest: list[int], room: int, most_waste: int, budget: Budget) -> Ite
     available = Counter(rest)
     sizes = sum(1 << x for x in available)
     low = -1
-    for high in sorted({0, min(16, most_waste), min(256, most_waste), most_waste}):
+    for high in sorted({min(fair, most_waste), min(8 * fair, most_waste), most_waste}):
         stack: list[tuple[tuple[int, ...], int, int]] = [((), room, len(rest))]
         while stack:
             if budget.spent():
@@ -134,7 +134,8 @@ def bin_completion(sizes: list[int], capacity: int = CAPACITY, steps: int | None
     def options() -> Iterator[tuple[int, ...]]:
         others, largest = rest[:-1], rest[-1]
         allowed = (count - 1) * capacity - total - wasted[-1]
-        return ((largest, *f) for f in fillings(others, capacity - largest, min(allowed, capacity - largest), budget)) if allowed >= 0 else iter(())
+        fair = max(0, allowed) // max(1, count - 1 - len(path))
+        return ((largest, *f) for f in fillings(others, capacity - largest, min(allowed, capacity - largest), budget, fair)) if allowed >= 0 else iter(())
 
     choices.append(options())
     while choices and count > least:
