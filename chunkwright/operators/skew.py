@@ -20,7 +20,7 @@ def partitions_for(df: DataFrame, growth: float = 1.0) -> int:
     """Partitions for a shuffle of ``growth`` times the bytes of the tables that ``df`` reads: the session's number, or more where that would make them larger than PARTITION_BYTES. What Spark can't tell the size of doesn't count."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.length())]
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
     known = sum(n for n in sizes if n < 1 << 60)
     return max(least, min(MOST_PARTITIONS, math.ceil(known * growth / PARTITION_BYTES)))
 
