@@ -38,9 +38,9 @@ def line_rows(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
 
 def frequent_lines(df: DataFrame, key: str = "chunk_no", text: str = "text", source: str = "source_document", min_rows: int = MIN_ROWS) -> DataFrame:
-    """(``key``, a, b, lines, rows): the lines of each record that are in ``min_rows`` records of its source at least, with their numbers."""
+    """(``key``, a, b, lines, rows, times): the lines of each record that are in ``min_rows`` records of its source at least, with their numbers, and how often they occur in the source."""
     rows = line_rows(df.where(F.col(key).isNotNull()), key, text, source).select(key, "a", "b", "line_no")
-    return grouped_with_totals(rows, ["a", "b"], key, {"lines": F.sort_array(F.collect_list("line_no"))}, {"rows": F.lit(1)}).where(F.col("rows") >= min_rows)
+    return grouped_with_totals(rows, ["a", "b"], key, {"lines": F.sort_array(F.collect_list("line_no"))}, {"rows": F.lit(1), "times": F.size("lines")}).where(F.col("rows") >= min_rows)
 
 
 def _gap_items(pattern: Column, at: Column, seq: Column) -> Column:
