@@ -15,7 +15,13 @@ from chunkwright.operators.chunking import Tokenizer, leading, piece_tokenizer
 #: Scores (query, text) pairs with logits; called with a batch at a time, loaded once in each worker.
 CrossEncoder = Callable[[Sequence[str], Sequence[str]], Sequence[float]]
 
+#: Answers a prompt, given a system prompt; called once for each query.
+Judge = Callable[[str, str], str]
+
 LOWEST = 5.0
+JUDGE_SYSTEM = """You score how relevant pieces of documents are to a question. Answer with a JSON array only, one entry for each piece, in their order: [{"id": 0, "score": 0}, ...].
+A score is a number from 0 to 10: up to 2 if a piece has nothing to do with the question, up to 4 if it touches the subject, up to 6 if it answers in part, up to 8 if it answers well, up to 10 if it answers in full.
+Judge the meaning, not shared words."""
 LLM_SCORES = "array<struct<id:int,score:double>>"
 
 
@@ -56,8 +62,9 @@ def rerank(candidates: DataFrame, k: int, score: Column, by: str = "query_id", o
 
 
 def rerank_above(scored: DataFrame, k: int, lowest: float = LOWEST, by: str = "query_id") -> DataFrame:
-    """The ``k`` best of each ``by`` with a score of ``lowest`` at least, ranks numbered after the cut."""
-    return ranked(scored.where(F.col("relevance_score") >= lowest), by).where(F.col("new_rank") <= k)
+    """The ``k`` best of each ``by`` with a score of ``lowest`` at least, ranks numbered after the cut; null and NaN never are."""
+    enough = (F.col("relevance_score") >= lowest) & ~F.isnan("relevance_score")  # NaN is larger than any number
+    return ranked(scored.where(enough), by).where(F.col("new_rank") <= k)
 
 
 def fallback(candidates: DataFrame, k: int, original: str = "original_rank") -> DataFrame:
@@ -80,16 +87,39 @@ def judged_scores(content: Column, expected: Column, by_id: bool = False) -> Col
     return F.coalesce(F.when(fits, positional), F.transform(F.sequence(F.lit(1), F.greatest(expected, F.lit(1))), lambda _: F.lit(LOWEST)))
 
 
-def judge_prompt(texts: DataFrame, by: str = "query_id", text: str = "text", original: str = "original_rank") -> DataFrame:
-    """(by, n, prompt): the texts of each ``by`` as one prompt, numbered from 0 in their order."""
+def judge_prompt(texts: DataFrame, by: str = "query_id", text: str = "text", original: str = "original_rank", query: str = "query") -> DataFrame:
+    """(by, n, prompt): the query and the texts of each ``by`` as one prompt, the texts numbered from 0 in their order. ``text`` should hold the chunks under their headers."""
     entries = F.transform(F.array_sort(F.collect_list(F.struct(original, text))), lambda x, i: F.concat(F.lit("Chunk: "), i.cast("string"), F.lit("\n"), F.coalesce(x[text], F.lit(""))))
-    return texts.groupBy(by).agg(F.count(F.lit(1)).cast("int").alias("n"), F.array_join(entries, "\n\n").alias("prompt"))
+    asked = F.coalesce(F.first(query, ignorenulls=True), F.lit(""))
+    n = F.count(F.lit(1)).cast("int")
+    prompt = F.concat(F.lit("Query: "), asked, F.lit("\n\nChunks to score:\n\n"), F.array_join(entries, "\n\n"), F.lit("\n\nGive a JSON array with the scores of all "), n.cast("string"), F.lit(" chunks."))
+    return texts.groupBy(by).agg(n.alias("n"), prompt.alias("prompt"))
+
+
+def judge_answers(prompts: DataFrame, load: Callable[[], Judge], by: str = "query_id") -> DataFrame:
+    """(by, content): a judge's answer to each prompt. ``load`` is called once in each Python worker; a prompt on which the judge fails has a null answer."""
+
+    @F.pandas_udf("string")
+    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+
+        def one(prompt: str) -> str | None:
+            try:
+                return model(JUDGE_SYSTEM, prompt)
+            except Exception:  # noqa: BLE001
+                return None
+
+        for prompts in batches:
+            yield prompts.map(one).astype(object)
+
+    return prompts.select(by, answers(F.col("prompt")).alias("content"))
 
 
 def judge(candidates: DataFrame, k: int, answers: DataFrame, lowest: float = LOWEST, by: str = "query_id") -> DataFrame:
     """Reranks by a judge's answers (by, content): parsed scores by position, the threshold, and for a query without an answer the fallback."""
     sized = candidates.groupBy(by).agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    scores = sized.join(answers, by, "left").select(by, F.col("content").isNotNull().alias("_answered"), judged_scores(F.col("content"), F.col("_n")).alias("_scores"))
+    candidates = candidates.drop("relevance_score", "new_rank")
+    scores = sized.join(answers.select(by, "content"), by, "left").select(by, F.col("content").isNotNull().alias("_answered"), judged_scores(F.col("content"), F.col("_n")).alias("_scores"))
     joined = candidates.join(scores, by)
     scored = joined.where("_answered").withColumn("relevance_score", F.try_element_at("_scores", F.col("original_rank").cast("int"))).drop("_answered", "_scores")
     return rerank_above(scored, k, lowest, by).unionByName(fallback(joined.where("NOT _answered").drop("_answered", "_scores"), k))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+
 from chunkwright.operators.chunking import Tokenizer, chunk_sections, piece_tokenizer
 from chunkwright.operators.embed import Embedder, embed_chunks, embed_queries, hashing_embedder
 from chunkwright.operators.layout import format_sections
-from chunkwright.operators.rerank import overlap_score
+from chunkwright.operators.rerank import Judge, overlap_score
 from chunkwright.plans.search import contexts, search
 from chunkwright.schema import Config
 from chunkwright.sources.pdf import Parser, pdf_parser, scan, words_of
@@ -21,8 +22,8 @@ Strategy = Callable[[DataFrame], DataFrame]
 class RetrievalService:
     """Ties a store, a parser, a strategy, an embedder and a reranker together."""
 
-    def __init__(self, store: ChunkStore, config: Config = Config(), parser: Parser = pdf_parser, strategy: Strategy | None = None, embedder: Callable[[], Embedder] | None = None, score: Callable[[Column, Column], Column] = overlap_score, tokenizer: Tokenizer = piece_tokenizer):
-        self.store, self.config, self.parser, self.score, self.tokenizer = store, config, parser, score, tokenizer
+    def __init__(self, store: ChunkStore, config: Config = Config(), parser: Parser = pdf_parser, strategy: Strategy | None = None, embedder: Callable[[], Embedder] | None = None, score: Callable[[Column, Column], Column] = overlap_score, tokenizer: Tokenizer = piece_tokenizer, judged_by: Callable[[], Judge] | None = None):
+        self.store, self.config, self.parser, self.score, self.tokenizer, self.judged_by = store, config, parser, score, tokenizer, judged_by
         self.strategy = strategy or (lambda words: format_sections(words, config.max_heading_depth))
         dimensions = config.vector_size
         self.embedder = embedder or (lambda: hashing_embedder(dimensions))
@@ -41,7 +42,7 @@ class RetrievalService:
     def search_table(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """Results of a table of queries (query_id, text)."""
         asked = embed_queries(queries, self.embedder)
-        return search(self.store.load(), asked, "id", self.config, k, self.score, self.config.vector_size)
+        return search(self.store.load(), asked, "id", self.config, k, self.score, self.config.vector_size, self.store.postings(), self.judged_by)
 
     def search(self, query: str, k: int | None = None) -> DataFrame:
         return self.search_table(self.spark.createDataFrame([(1, query)], "query_id bigint, text string"), k)

@@ -6,14 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chunkwright.operators import bm25
+from chunkwright.operators import bm25, dense
 from chunkwright.operators.chunking import piece_tokenizer
 from chunkwright.operators.components import connected_components
 from chunkwright.operators.dense import dense_top_k
 from chunkwright.operators.expand import chunks_at, expand
 from chunkwright.operators.fusion import branch_budgets, fuse
 from chunkwright.operators.positions import with_offsets
-from chunkwright.operators.rerank import fallback, judge, judge_prompt, judged_scores, model_score, ranked, rerank_above, truncated
+from chunkwright.operators.rerank import fallback, judge, judge_answers, judge_prompt, judged_scores, model_score, ranked, rerank_above, truncated
 from chunkwright.operators.skew import grouped_with_totals, with_key_totals
 from chunkwright.schema import Config, Scoring
 
@@ -69,6 +69,20 @@ def test_bm25_against_the_formula(spark, scoring):
     assert bm25.bm25_top_k(chunks, queries.limit(0), "chunk_no", 4, scoring).count() == 0
 
 
+def test_searches_in_passes(spark, monkeypatch):
+    docs = [(i, " ".join("abcdefgh"[j] for j in range(8) if i >> j & 1)) for i in range(200)]
+    chunks = spark.createDataFrame(docs, "chunk_no bigint, text string")
+    queries = spark.createDataFrame([(i, "abcdefgh"[i % 8] + " " + "abcdefgh"[(i + 3) % 8]) for i in range(9)], "query_id bigint, text string")
+    once = sorted(map(tuple, bm25.bm25_top_k(chunks, queries, "chunk_no", 5).collect()))
+    monkeypatch.setattr(bm25, "QUERY_TERMS", 4)
+    assert sorted(map(tuple, bm25.bm25_top_k(chunks, queries, "chunk_no", 5).collect())) == once and len(once) == 45
+    vectors = spark.createDataFrame([(i, [float(i % 7 + 1), 1.0, float(i % 3)]) for i in range(50)], "chunk_no bigint, embedding array<float>")
+    asked = vectors.limit(9).select(F.col("chunk_no").alias("query_id"), F.col("embedding").alias("vec"))
+    once = sorted(map(tuple, dense.dense_top_k(vectors, asked, "chunk_no", 3, dimensions=3).collect()))
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    assert sorted(map(tuple, dense.dense_top_k(vectors, asked, "chunk_no", 3, dimensions=3).collect())) == once and len(once) == 27
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([(1, "a a b"), (2, None), (3, ""), (4, "b"), (4, "c"), (None, "z")], "k bigint, text string")
     stats = bm25.corpus_stats(df, "k").first()
@@ -114,6 +128,7 @@ def test_ranks_thresholds_and_fallback(spark):
     assert [r["id"] for r in ranked(df).orderBy("new_rank").collect()] == ["b", "c", "a", "f", "d", "e"]
     above = {r["id"]: r["new_rank"] for r in rerank_above(df, 2).collect()}
     assert above == {"b": 1, "c": 2}
+    assert {r["id"] for r in rerank_above(df, 9).collect()} == {"a", "b", "c"}  # neither null nor NaN
     low = fallback(df.drop("relevance_score"), 3).orderBy("new_rank").collect()
     assert [(r["id"], r["relevance_score"]) for r in low] == [("a", 5.0), ("b", 4.9), ("c", 4.8)]
 
@@ -128,8 +143,17 @@ def test_judges(spark):
     candidates = spark.createDataFrame([(q, f"{q}{i}", f"text {i}", i + 1) for q in (1, 2, 5) for i in range(2)], "query_id bigint, id string, text string, original_rank int")
     out = {(r["query_id"], r["new_rank"]): (r["id"], r["relevance_score"]) for r in judge(candidates, 2, df.where("content IS NOT NULL")).collect()}
     assert out == {(1, 1): ("10", 7.0), (2, 1): ("21", 8.0), (5, 1): ("50", 5.0), (5, 2): ("51", 4.9)}
-    prompt = judge_prompt(candidates).where("query_id = 1").first()
-    assert (prompt["n"], prompt["prompt"]) == (2, "Chunk: 0\ntext 0\n\nChunk: 1\ntext 1")
+    prompt = judge_prompt(candidates.withColumn("query", F.lit("why?"))).where("query_id = 1").first()
+    assert prompt["n"] == 2 and prompt["prompt"].startswith("Query: why?\n\n") and "\n\nChunk: 0\ntext 0\n\nChunk: 1\ntext 1\n\n" in prompt["prompt"]
+
+    def model(system, asked):
+        if "why" in asked:
+            raise OSError("no answer")
+        return '[{"id": 0, "score": 1}, {"id": 1, "score": 9}]'
+
+    prompts = judge_prompt(candidates.withColumn("query", F.when(F.col("query_id") == 5, "why?").otherwise("how?")))
+    answered = judge(candidates, 2, judge_answers(prompts, lambda: model)).collect()
+    assert {(r["query_id"], r["id"], r["new_rank"]) for r in answered} == {(1, "11", 1), (2, "21", 1), (5, "50", 1), (5, "51", 2)}
 
 
 def test_a_model_scores_in_batches(spark):
