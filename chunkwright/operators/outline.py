@@ -101,6 +101,12 @@ def flattened(bookmarks: DataFrame, max_depth: int = 1, skip_pages: int = 0) ->
     return kept.select("document", (F.row_number().over(place) - 1).cast("bigint").alias("ord"), "title", F.array_join("_path", " > ").alias("full_title"), "level", "page")
 
 
+def followed(outline: DataFrame, *columns: str) -> DataFrame:
+    """The outline with the given columns of the bookmark that comes next in the document as next_...; null for the last."""
+    order = Window.partitionBy("document").orderBy("ord")
+    return outline.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
+
+
 def located(outline: DataFrame, pages: DataFrame) -> DataFrame:
     """The outline with ``start_page``, ``start`` and ``content``: where each title stands and where the text behind it begins, in the page's spaced text.
 
@@ -140,10 +146,9 @@ def outline_sections(bookmarks: DataFrame, pages: DataFrame, max_depth: int = 1,
     pages = pages.where(F.col("page") > skip_pages)
     marks = located(flattened(bookmarks, max_depth, skip_pages), pages)
     last = pages.groupBy("document").agg(F.max("page").alias("last_page"))
-    order = Window.partitionBy("document").orderBy("ord")
     # whether the next title was found or not, its place ends this section
-    bounded = marks.join(last, "document").select("*", F.lead("start_page").over(order).alias("next_page"), F.lead("start").over(order).alias("next_start"))
-    until = F.coalesce("next_page", "last_page")
+    bounded = followed(marks.join(last, "document"), "start_page", "start")
+    until = F.coalesce("next_start_page", "last_page")
     spread = bounded.where(until >= F.col("start_page")).withColumn("page", F.explode(F.sequence("start_page", until)))
     placed = spread.join(pages, ["document", "page"]).where("text_spaced != ''")
 
@@ -165,7 +170,7 @@ def outline_sections(bookmarks: DataFrame, pages: DataFrame, max_depth: int = 1,
             out.append(text if text.strip() else None)
         return pd.Series(out, dtype=object)
 
-    final = F.coalesce(F.col("page") == F.col("next_page"), F.lit(False))
+    final = F.coalesce(F.col("page") == F.col("next_start_page"), F.lit(False))
     texts = placed.withColumn("text", cut(F.col("page") == F.col("start_page"), final, "content", F.coalesce("next_start", F.lit(0)), "text_spaced", "text_lines")).where("text IS NOT NULL")
     keys = ["document", "ord", "title", "full_title", "level", "start_page"]
     whole = texts.groupBy(*keys).agg(F.max("page").alias("end_page"), F.array_sort(F.collect_list(F.struct(F.col("page").alias("page_number"), "text"))).alias("page_texts"))

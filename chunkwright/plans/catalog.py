@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkwright.functions import text as tx
@@ -17,7 +19,8 @@ from chunkwright.operators.fusion import branch_budgets
 from chunkwright.plans import oracles
 from chunkwright.plans.search import contexts, hybrid_top_k, search
 from chunkwright.schema import Config, Scoring
-from chunkwright.sources.store import from_payload, to_payload, upserted
+from chunkwright.session import ensure_checkpoint_dir
+from chunkwright.sources.store import ChunkStore, from_payload, to_payload, upserted
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,6 +161,37 @@ def bm25_topk_live_idf(spark: SparkSession, folder: str) -> DataFrame:
     return _bm25(spark, folder, Scoring.LIVE_IDF)
 
 
+def _store(spark: SparkSession, folder: str, frozen: bool = False) -> ChunkStore:
+    """A new store of all chunks in the shared checkpoint folder, under ids that sort as their numbers do."""
+    ensure_checkpoint_dir(spark)
+    store = ChunkStore(spark, f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}", frozen=frozen)
+    store.replace(table(spark, folder, "chunks").withColumn("id", F.lpad(F.col("chunk_no").cast("string"), 12, "0")))
+    return store
+
+
+def _stored(spark: SparkSession, folder: str, scoring: Scoring) -> DataFrame:
+    store = _store(spark, folder, scoring is Scoring.IDF_SQUARED)
+    found = bm25.bm25_top_k(store.postings(), table(spark, folder, "queries"), "id", 20, scoring)
+    return found.select("query_id", F.col("id").cast("bigint").alias("chunk_no"), "score", "rank")
+
+
+@_registered
+def stored_bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks indexed, then searched by their stored postings."""
+    return _stored(spark, folder, Scoring.CLASSIC)
+
+
+@_registered
+def stored_bm25_live_idf(spark: SparkSession, folder: str) -> DataFrame:
+    return _stored(spark, folder, Scoring.LIVE_IDF)
+
+
+@_registered
+def stored_bm25_frozen(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks weighed when they were indexed, queries weighed likewise."""
+    return _stored(spark, folder, Scoring.IDF_SQUARED)
+
+
 @_registered
 def bm25_topk_idf_squared(spark: SparkSession, folder: str) -> DataFrame:
     return _bm25(spark, folder, Scoring.IDF_SQUARED)
@@ -178,10 +212,10 @@ def hybrid_rrf_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stored_hits(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The three best of each query in reranked as hits, with the chunks they are."""
+    """The stored results of each query in reranked as hits, with the chunks they are."""
     chunks = table(spark, folder, "chunks")
     one = chunks.groupBy(*PLACE).agg(F.min("chunk_no").alias("chunk_no"), F.max("chunk_total").alias("chunk_total"))
-    best = table(spark, folder, "reranked").where("new_rank <= 3").groupBy("query_id", *PLACE).agg(F.min("new_rank").alias("rank"))
+    best = table(spark, folder, "reranked").groupBy("query_id", *PLACE).agg(F.min("new_rank").alias("rank"))
     return best.join(one, list(PLACE)), chunks
 
 
@@ -197,6 +231,13 @@ def adjacent_expand(spark: SparkSession, folder: str) -> DataFrame:
     return expand(hits, chunks, 1, key="chunk_no")
 
 
+@_registered
+def adjacent_none(spark: SparkSession, folder: str) -> DataFrame:
+    """No neighbours asked for: the hits alone."""
+    hits, chunks = _stored_hits(spark, folder)
+    return expand(hits, chunks, 0, key="chunk_no")
+
+
 @_registered
 def get_chunks_by_indices(spark: SparkSession, folder: str) -> DataFrame:
     return chunks_at(table(spark, folder, "chunks"), "Corvane Platform Reference.pdf", [0, 2, 5]).select("chunk_no", "section_path", "chunk_index")
@@ -302,6 +343,27 @@ def llm_score_parse(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select("query_id", F.posexplode("scores").alias("position", "score"))
 
 
+def _some_judge(system: str, prompt: str) -> str:
+    """A judge by rule: chunk i of n gets (7 i + n) mod 11, the fourth none that is a number; no answer where n is a multiple of 5, none that can be read where it is one of 7."""
+    n = int(re.search(r"scores of all (\d+) chunks", prompt)[1])
+    if n % 5 == 0:
+        raise OSError("no answer")
+    if n % 7 == 0:
+        return "All of them seem fine."
+    return "[" + ", ".join(f'{{"id": {i}, "score": {"NaN" if i == 3 else (7 * i + n) % 11}}}' for i in range(n)) + "]"
+
+
+@_registered
+def judge_rerank(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored results judged anew under their headers; failed answers leave the order, unreadable ones score 5."""
+    one = table(spark, folder, "chunks").groupBy("id").agg(F.max_by(tx.embedding_text(*[F.col(c) for c in ("source_document", "section_path", "section", "text")]), "chunk_no").alias("text"))
+    order = Window.partitionBy("query_id").orderBy("original_rank", "id")
+    candidates = _scored(spark, folder).select("query_id", "id", "original_rank").distinct().withColumn("original_rank", F.row_number().over(order))
+    asked = candidates.join(one, "id", "left").join(table(spark, folder, "queries").select("query_id", F.col("text").alias("query")), "query_id", "left")
+    answers = rerank.judge_answers(rerank.judge_prompt(asked), lambda: _some_judge)
+    return rerank.judge(candidates, 5, answers).select("query_id", "id", "original_rank", "relevance_score", "new_rank")
+
+
 # ---- index maintenance ----
 
 
@@ -314,10 +376,47 @@ def upsert_by_id(spark: SparkSession, folder: str) -> DataFrame:
     return upserted(stored, new).select("id", "chunk_no", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def _half_store(spark: SparkSession, folder: str) -> ChunkStore:
+    """A new store of the chunks with even numbers, the last of each id."""
+    ensure_checkpoint_dir(spark)
+    store = ChunkStore(spark, f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}")
+    store.upsert(table(spark, folder, "chunks").where("chunk_no % 2 = 0"), "chunk_no")
+    return store
+
+
+@_registered
+def store_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks with even numbers stored, those with odd ones upserted."""
+    store = _half_store(spark, folder)
+    store.upsert(table(spark, folder, "chunks").where("chunk_no % 2 = 1"), "chunk_no")
+    return store.load().select("id", "source_document", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@_registered
+def store_append(spark: SparkSession, folder: str) -> DataFrame:
+    """The same appended under new ids: nothing is replaced."""
+    store = _half_store(spark, folder)
+    store.append(table(spark, folder, "chunks").where("chunk_no % 2 = 1"))
+    return store.load().groupBy("source_document").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
+
+
 @_registered
 def delete_document(spark: SparkSession, folder: str) -> DataFrame:
-    left = table(spark, folder, "chunks").where(~F.col("source_document").eqNullSafe(F.lit("Corvane Platform Reference.pdf")))
-    return left.groupBy("source_document").agg(F.count("*").alias("n_chunks"), F.countDistinct("id").alias("n_ids"))
+    """All chunks stored, one document deleted; totals are of what is left."""
+    store = _store(spark, folder)
+    store.delete_document("Corvane Platform Reference.pdf")
+    left = store.load().groupBy("source_document").agg(F.count("*").alias("n_chunks"), F.countDistinct("id").alias("n_ids"))
+    totals = store.postings().totals.groupBy("source_document").agg(F.sum("docs").alias("n_with_terms"), F.sum("length").alias("n_terms"))
+    return left.join(totals, left["source_document"].eqNullSafe(totals["source_document"]), "left").select(left["source_document"], "n_chunks", "n_ids", "n_with_terms", "n_terms")
+
+
+@_registered
+def store_clear(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left after clearing and storing one document again."""
+    store = _store(spark, folder)
+    store.clear()
+    store.append(table(spark, folder, "chunks").where("source_document = 'Corvane Platform Reference.pdf'"))
+    return store.load().groupBy("source_document").agg(F.count("*").alias("n_chunks"))
 
 
 @_registered
@@ -368,6 +467,13 @@ def heading_levels(spark: SparkSession, folder: str) -> DataFrame:
     return layout.heading_levels(words(spark, folder)).groupBy("document", "heading_level").agg(F.count("*").alias("n_words"))
 
 
+@_registered
+def heading_levels_limited(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings of one colour and up to a size."""
+    colored = words(spark, folder).withColumn("color_key", F.when(F.col("ord") % 3 == 0, "gray_0.50").otherwise("default"))
+    return layout.heading_levels(colored, max_size=15.0, color="default").groupBy("document", "heading_level").agg(F.count("*").alias("n_words"))
+
+
 @_registered
 def line_breaks(spark: SparkSession, folder: str) -> DataFrame:
     return layout.line_breaks(words(spark, folder)).groupBy("document", "page").agg(F.count_if(F.col("separator") == "\n").alias("n_breaks"), F.count_if(F.col("separator") == " ").alias("n_spaces"))
@@ -430,8 +536,16 @@ def bookmark_paths(spark: SparkSession, folder: str) -> DataFrame:
 @_registered
 def next_bookmark(spark: SparkSession, folder: str) -> DataFrame:
     flat = outline.flattened(table(spark, folder, "bookmarks"), max_depth=3)
-    w = Window.partitionBy("document").orderBy("ord")
-    return flat.select("document", "ord", "title", "page", F.lead("title").over(w).alias("next_title"), F.lead("page").over(w).alias("next_page"))
+    return outline.followed(flat, "title", "page").select("document", "ord", "title", "page", "next_title", "next_page")
+
+
+@_registered
+def literal_headings(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the titles are found that stand on their page as they are, and where the text behind them begins."""
+    pages = _pages(spark, folder)
+    found = outline.located(outline.flattened(table(spark, folder, "bookmarks"), max_depth=3), pages)
+    named = found.join(pages, ["document", "page"]).where((F.expr("instr(lower(text_spaced), lower(title))") > 0) & (F.length("title") > 0))
+    return named.select("document", "ord", "start_page", "start", "content")
 
 
 @_registered
@@ -454,6 +568,35 @@ def chunk_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return made.withColumn("metadata", F.to_json("metadata"))
 
 
+def _n_tokens(text: Column) -> Column:
+    return F.size(F.regexp_extract_all(text, F.lit(r"[\s\p{Z}]*(?:[\p{L}\p{M}]+|\p{N}{1,3}|[^\s\p{Z}\p{L}\p{N}]+)|[\s\p{Z}]+"), F.lit(0)))
+
+
+@_registered
+def whole_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections that fit in one chunk: they come out as they are."""
+    made = chunking.chunk_sections(table(spark, folder, "sections").drop("section_no")).where("chunk_total = 1")
+    return made.select("id", "source_document", "section_ord", "text", "start_page", "end_page", "chunk_index", "section", "section_path", F.element_at("metadata", "Pages").alias("pages"))
+
+
+@_registered
+def cut_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections of several chunks: all within the limit, numbered through, from the section's beginning to its end."""
+    sections = table(spark, folder, "sections").drop("section_no")
+    made = chunking.chunk_sections(sections).where("chunk_total > 1")
+    whole = sections.select(F.col("document").alias("source_document"), "section_ord", F.array_join(F.transform("page_texts", lambda p: F.coalesce(p["text"], F.lit(""))), " ").alias("_whole"))
+    each = made.groupBy("source_document", "section_ord").agg(
+        F.max(_n_tokens(F.col("text"))).alias("_most"), F.count("*").alias("_n"), F.countDistinct("chunk_index").alias("_indices"), F.max("chunk_index").alias("_last"), F.max("chunk_total").alias("_total"),
+        F.min_by("text", "chunk_index").alias("_begin"), F.max_by("text", "chunk_index").alias("_end"), F.sum(F.length(F.regexp_replace("text", r"[\s\p{Z}]+", ""))).alias("_ink"),
+    )
+    of = each.join(whole, ["source_document", "section_ord"])
+    ink = lambda c: F.regexp_replace(c, r"[\s\p{Z}]+", "")
+    return of.select(
+        "source_document", "section_ord", _n_tokens(F.col("_whole")).alias("n_tokens"), (F.col("_most") <= 400).alias("bounded"), ((F.col("_n") == F.col("_indices")) & (F.col("_last") == F.col("_n") - 1) & (F.col("_total") == F.col("_n"))).alias("numbered"),
+        ink("_whole").startswith(ink("_begin")).alias("begins"), ink("_whole").endswith(ink("_end")).alias("ends"), (F.col("_ink") >= F.length(ink("_whole"))).alias("covers"),
+    )
+
+
 @_registered
 def embedded_chunks(spark: SparkSession, folder: str) -> DataFrame:
     made = embed_chunks(table(spark, folder, "chunks"), lambda: hashing_embedder(64))
@@ -465,6 +608,15 @@ def search_documents_e2e(spark: SparkSession, folder: str) -> DataFrame:
     return _searched(spark, folder).select("query_id", "chunk_no", "original_rank", F.round("relevance_score", 6).alias("relevance_score"), "new_rank")
 
 
+@_registered
+def stored_search_e2e(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search over an index: chunks and postings as they were stored."""
+    store = _store(spark, folder)
+    scored = lambda q, t: F.round(rerank.overlap_score(q, t), 6)
+    found = search(store.load(), table(spark, folder, "queries").select("query_id", "text", "vec"), "id", Config(), score=scored, postings=store.postings())
+    return found.select("query_id", F.col("id").cast("bigint").alias("chunk_no"), "original_rank", F.round("relevance_score", 6).alias("relevance_score"), "new_rank")
+
+
 @_registered
 def search_contexts(spark: SparkSession, folder: str) -> DataFrame:
     return contexts(_searched(spark, folder), table(spark, folder, "queries"))

@@ -66,7 +66,7 @@ _RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN isnan(rel
 _HITS = """
 one AS (SELECT source_document, section_path, chunk_index, min(chunk_no) AS chunk_no, max(chunk_total) AS chunk_total FROM chunks GROUP BY ALL),
 hits AS (SELECT query_id, source_document, section_path, chunk_index, rank, chunk_no, chunk_total FROM (
-    SELECT query_id, source_document, section_path, chunk_index, min(new_rank) AS rank FROM reranked WHERE new_rank <= 3 GROUP BY ALL) JOIN one USING (source_document, section_path, chunk_index))"""
+    SELECT query_id, source_document, section_path, chunk_index, min(new_rank) AS rank FROM reranked GROUP BY ALL) JOIN one USING (source_document, section_path, chunk_index))"""
 
 
 def _places(n: int) -> str:
@@ -104,6 +104,14 @@ parted AS (SELECT *, CASE WHEN px IS NULL THEN NULL WHEN NOT (abs(pb - bottom) <
 _TITLES = r"""
 once AS (SELECT DISTINCT document, ord, title, level, page, parent_titles FROM bookmarks),
 named AS (SELECT document, ord, trim(title) AS title, level, coalesce(page, 1) AS page, list_append(coalesce(parent_titles, []), trim(title)) AS path FROM once)"""
+_PAGES = r"""
+shown AS (SELECT document, section_ord, heading, unnest(page_texts) AS p, unnest(range(len(page_texts))) AS i FROM sections),
+paged AS (SELECT document, p.page_number AS page, string_agg(concat_ws(chr(10), CASE WHEN i = 0 THEN heading END, p.text), chr(10) ORDER BY section_ord, i) AS t FROM shown GROUP BY ALL),
+pages AS (SELECT document, page, trim(regexp_replace(t, '\s+', ' ', 'g')) AS s FROM paged)"""
+_PIECES = r"[\s\p{Z}]*(?:[\p{L}\p{M}]+|\p{N}{1,3}|[^\s\p{Z}\p{L}\p{N}]+)|[\s\p{Z}]+"
+_SECTION_TOKENS = f"""
+joined AS (SELECT *, array_to_string(list_transform(page_texts, lambda p: coalesce(p.text, '')), ' ') AS t FROM sections),
+counted AS (SELECT *, len(regexp_extract_all(t, '{_PIECES}'))::INTEGER AS n_tokens, list_filter(list_transform(page_texts, lambda p: p.page_number), lambda n: n IS NOT NULL) AS ns FROM joined WHERE regexp_matches(t, '[^\\s\\p{{Z}}\\x1C-\\x1F]'))"""
 _FLAT = """
 flat AS (SELECT document, row_number() OVER (PARTITION BY document ORDER BY page, level, ord, title) - 1 AS ord, title, array_to_string(path, ' > ') AS full_title, level, page FROM kept)"""
 
@@ -148,6 +156,9 @@ def sql() -> dict[str, str]:
         "bm25_topk": f"WITH {_TF}, {_sparse(_IDF, 'average')} SELECT query_id, chunk_no, score, rank::INTEGER AS rank FROM sparse WHERE rank <= 20",
         "bm25_scores": f"""WITH {_TF}, s AS (SELECT query_id, chunk_no, sum({_IDF} * {_sat("tf.tf", "tf.length", "average")}) AS score FROM qtf JOIN tf USING (term) JOIN stats USING (term), corpus GROUP BY ALL)
             SELECT query_id, count(*) AS n_chunks, round(max(score), 6) AS best, round(sum(score), 3) AS total FROM s GROUP BY query_id""",
+        "stored_bm25_topk": f"WITH {_TF}, {_sparse(_IDF, 'average')} SELECT query_id, chunk_no, score, rank::INTEGER AS rank FROM sparse WHERE rank <= 20",
+        "stored_bm25_live_idf": f"WITH {_TF}, {_LIVE} SELECT query_id, chunk_no, score, rank::INTEGER AS rank FROM sparse WHERE rank <= 20",
+        "stored_bm25_frozen": f"WITH {_TF}, {_sparse(_IDF + ' * ' + _IDF + ' * ' + _sat('qtf.tf', 'qtf.length', 'average'), 'average')} SELECT query_id, chunk_no, score, rank::INTEGER AS rank FROM sparse WHERE rank <= 20",
         "bm25_topk_live_idf": f"WITH {_TF}, {_LIVE} SELECT query_id, chunk_no, score, rank::INTEGER AS rank FROM sparse WHERE rank <= 20",
         "bm25_topk_idf_squared": f"WITH {_TF}, {_sparse(_IDF + ' * ' + _IDF + ' * ' + _sat('qtf.tf', 'qtf.length', 'average'), 'average')} SELECT query_id, chunk_no, score, rank::INTEGER AS rank FROM sparse WHERE rank <= 20",
         "prefetch_budgets": budgets,
@@ -156,6 +167,7 @@ def sql() -> dict[str, str]:
         "adjacent_expand": f"""WITH {_HITS}, {_places(1)}, wide AS (SELECT query_id, chunk_no, rank, true AS is_hit FROM hits UNION ALL
             SELECT p.query_id, c.chunk_no, p.rank, false FROM places p JOIN chunks c USING (source_document, section_path, chunk_index))
             SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY is_hit DESC, rank, chunk_no))::INTEGER AS ord FROM wide""",
+        "adjacent_none": f"WITH {_HITS} SELECT query_id, chunk_no, rank, true AS is_hit, (row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_no))::INTEGER AS ord FROM hits",
         "get_chunks_by_indices": "SELECT chunk_no, section_path, chunk_index FROM chunks WHERE source_document = 'Corvane Platform Reference.pdf' AND chunk_index IN (0, 2, 5)",
         "embedding_text": f"SELECT chunk_no, {_ETEXT} AS embedding_text FROM chunks",
         "context_block": f"""WITH b AS (SELECT DISTINCT * FROM reranked), newest AS (SELECT * FROM (SELECT *, {ids} AS n FROM chunks) WHERE n = 1),
@@ -177,15 +189,29 @@ def sql() -> dict[str, str]:
         "sigmoid_scores": f"WITH {_SCORED} SELECT query_id, id, original_rank, round(10 / (1 + exp(5 - relevance_score)), 6) AS score, round(1 / (1 + exp(5 - relevance_score)), 6) AS yes FROM s WHERE relevance_score IS NOT NULL",
         "llm_score_parse": f"""WITH {_SCORED}, n AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY original_rank, round(relevance_score, 1)) - 1 AS position, round(relevance_score, 1) AS score FROM s WHERE relevance_score IS NOT NULL)
             SELECT query_id, position::INTEGER AS position, CASE WHEN query_id % 4 IN (0, 1) THEN score ELSE 5.0 END::DOUBLE AS score FROM n""",
+        "judge_rerank": """WITH c AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY original_rank, id) AS r, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT DISTINCT query_id, id, original_rank FROM reranked)),
+            s AS (SELECT *, CASE WHEN n % 5 = 0 THEN round(5.0::DOUBLE - (r - 1) * 0.1::DOUBLE, 6) WHEN n % 7 = 0 THEN 5.0::DOUBLE WHEN r = 4 THEN NULL ELSE ((7 * (r - 1) + n) % 11)::DOUBLE END AS relevance_score FROM c),
+            k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance_score DESC, r) AS new_rank FROM s WHERE n % 5 = 0 OR relevance_score >= 5)
+            SELECT query_id, id, r::INTEGER AS original_rank, relevance_score, new_rank::INTEGER AS new_rank FROM k WHERE new_rank <= 5""",
+        "store_upsert": f"""WITH e AS (SELECT id, source_document, text FROM (SELECT *, {ids} AS n FROM chunks WHERE chunk_no % 2 = 0) WHERE n = 1), o AS (SELECT id, source_document, text FROM (SELECT *, {ids} AS n FROM chunks WHERE chunk_no % 2 = 1) WHERE n = 1)
+            SELECT id, source_document, length(text) AS n_chars FROM (SELECT * FROM o UNION ALL SELECT * FROM e WHERE id NOT IN (SELECT id FROM o))""",
+        "store_append": f"""WITH e AS (SELECT source_document, text FROM (SELECT *, {ids} AS n FROM chunks WHERE chunk_no % 2 = 0) WHERE n = 1)
+            SELECT source_document, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars FROM (SELECT * FROM e UNION ALL SELECT source_document, text FROM chunks WHERE chunk_no % 2 = 1) GROUP BY 1""",
+        "store_clear": "SELECT source_document, count(*) AS n_chunks FROM chunks WHERE source_document = 'Corvane Platform Reference.pdf' GROUP BY 1",
         "upsert_by_id": f"""WITH e AS (SELECT id, chunk_no, text FROM (SELECT *, {ids} AS n FROM chunks WHERE chunk_no % 2 = 0) WHERE n = 1), o AS (SELECT id, chunk_no, text FROM (SELECT *, {ids} AS n FROM chunks WHERE chunk_no % 2 = 1) WHERE n = 1)
             SELECT id, chunk_no, length(text) AS n_chars FROM (SELECT * FROM o UNION ALL SELECT * FROM e WHERE id NOT IN (SELECT id FROM o))""",
-        "delete_document": "SELECT source_document, count(*) AS n_chunks, count(DISTINCT id) AS n_ids FROM chunks WHERE source_document IS DISTINCT FROM 'Corvane Platform Reference.pdf' GROUP BY 1",
+        "delete_document": r"""SELECT source_document, count(*) AS n_chunks, count(DISTINCT chunk_no) AS n_ids, count(*) FILTER (n > 0) AS n_with_terms, sum(n)::BIGINT AS n_terms
+            FROM (SELECT source_document, chunk_no, coalesce(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')), 0) AS n FROM chunks WHERE source_document IS DISTINCT FROM 'Corvane Platform Reference.pdf') GROUP BY 1""",
         "chunks_by_document": """SELECT source_document, strategy, page_count, n_chunks, n_sections, first_page, last_page FROM source_files LEFT JOIN (
             SELECT source_document, count(*) AS n_chunks, count(DISTINCT section_path) AS n_sections, min(start_page) AS first_page, max(end_page) AS last_page FROM chunks GROUP BY 1) USING (source_document)""",
         "body_font_mode": f"WITH {_WORDS}, {_BODY} SELECT document, body_size FROM body",
         "font_sizes": f"WITH {_WORDS} SELECT document, round(avg(font_size), 6) AS average, max(font_size) AS largest, min(font_size) AS smallest FROM words GROUP BY document",
         "heading_sizes": f"WITH {_WORDS}, {_BODY}, {_HEADS} SELECT document, body_size, array_to_string(list_transform(sizes, lambda s: printf('%.1f', s)), ',') AS sizes FROM known",
         "heading_levels": f"WITH {_WORDS}, {_BODY}, {_HEADS} SELECT document, heading_level, count(*) AS n_words FROM leveled GROUP BY ALL",
+        "heading_levels_limited": f"""WITH {_WORDS}, {_BODY}, large AS (SELECT document, list_sort(list_distinct(list(round_even(font_size, 1))), 'DESC') AS sizes FROM words JOIN body USING (document) WHERE font_size > body_size * 1.1 AND font_size <= 15 AND ord % 3 <> 0 GROUP BY document),
+            known AS (SELECT document, body_size, coalesce(sizes, []::DOUBLE[]) AS sizes FROM body LEFT JOIN large USING (document)),
+            leveled AS (SELECT w.document, CASE WHEN font_size > 15 OR ord % 3 = 0 THEN 0 WHEN list_position(sizes, round_even(font_size, 1)) > 0 THEN list_position(sizes, round_even(font_size, 1)) WHEN is_bold AND font_size >= body_size THEN len(sizes) + 1 ELSE 0 END::INTEGER AS heading_level FROM words w JOIN known USING (document))
+            SELECT document, heading_level, count(*) AS n_words FROM leveled GROUP BY ALL""",
         "line_breaks": f"WITH {_WORDS}, {_breaks('words', 'document, page')} SELECT document, page, count(*) FILTER (separator = chr(10)) AS n_breaks, count(*) FILTER (separator = ' ') AS n_spaces FROM parted GROUP BY ALL",
         "page_texts": f"WITH {_WORDS}, {_breaks('words', 'document, page')} SELECT document, page, string_agg(text, ' ' ORDER BY ord) AS text_spaced, string_agg(coalesce(separator, '') || text, '' ORDER BY ord) AS text_lines FROM parted GROUP BY ALL",
         "simple_sections": f"""WITH {_WORDS}, {_breaks('words', 'document, page')}, p AS (SELECT document, page, string_agg(coalesce(separator, '') || text, '' ORDER BY ord) AS t FROM parted WHERE page > 1 GROUP BY ALL)
@@ -209,6 +235,15 @@ def sql() -> dict[str, str]:
             kept AS (SELECT n.* FROM named n WHERE level <= 3 AND page > 2 AND NOT EXISTS (SELECT 1 FROM skipped s WHERE s.document = n.document AND s.p = n.path[1:len(s.p)])), {_FLAT} SELECT document, ord, title, full_title, level, page FROM flat""",
         "next_bookmark": f"""WITH {_TITLES}, kept AS (SELECT * FROM named WHERE level <= 3), {_FLAT}
             SELECT document, ord, title, page, lead(title) OVER w AS next_title, lead(page) OVER w AS next_page FROM flat WINDOW w AS (PARTITION BY document ORDER BY ord)""",
+        "literal_headings": f"""WITH {_TITLES}, kept AS (SELECT * FROM named WHERE level <= 3), {_FLAT}, {_PAGES},
+            stands AS (SELECT f.*, s, instr(lower(s), lower(title)) - 1 AS start FROM flat f JOIN pages USING (document, page) WHERE length(title) > 0)
+            SELECT document, ord, page AS start_page, start::INTEGER AS start, (start + length(title) + CASE WHEN substr(s, start + length(title) + 1, 1) = ' ' THEN 1 ELSE 0 END)::INTEGER AS content FROM stands WHERE start >= 0""",
+        "whole_chunks": f"""WITH {_SECTION_TOKENS} SELECT concat_ws('_', coalesce(document, ''), 'bookmark', CASE WHEN coalesce(heading_path, '') = '' THEN 'nosection' ELSE ('0x' || substr(md5(heading_path), 1, 12))::BIGINT::VARCHAR END, 'chunk', '0') AS id,
+            document AS source_document, section_ord, t AS text, coalesce(list_min(ns), start_page) AS start_page, coalesce(list_max(ns), end_page) AS end_page, 0 AS chunk_index, coalesce(heading, document) AS section,
+            coalesce(heading_path, heading, document) AS section_path, array_to_string(list_sort(ns), ',') AS pages FROM counted WHERE n_tokens <= 400""",
+        "cut_chunks": f"WITH {_SECTION_TOKENS} SELECT document AS source_document, section_ord, n_tokens, true AS bounded, true AS numbered, true AS begins, true AS ends, true AS covers FROM counted WHERE n_tokens > 400",
+        "embedded_chunks": rf"SELECT chunk_no, CASE WHEN regexp_matches({_ETEXT}, '[\p{{L}}\p{{N}}]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM chunks",
+        "stored_search_e2e": f"{_SEARCH} SELECT query_id, chunk_no, original_rank::INTEGER AS original_rank, relevance_score, new_rank::INTEGER AS new_rank FROM best",
         "search_documents_e2e": f"{_SEARCH} SELECT query_id, chunk_no, original_rank::INTEGER AS original_rank, relevance_score, new_rank::INTEGER AS new_rank FROM best",
         "search_contexts": f"""{_SEARCH}, told AS (SELECT query_id, string_agg(e, '' ORDER BY new_rank) AS t FROM best JOIN (SELECT chunk_no, {_ENTRY} AS e FROM chunks) USING (chunk_no) GROUP BY 1)
             SELECT query_id, CASE WHEN t IS NULL THEN 'No relevant information found.' ELSE 'Context from documents:' || chr(10) || chr(10) || t END AS context FROM queries LEFT JOIN told USING (query_id)""",
