@@ -521,8 +521,10 @@ def font_styles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    """The sections' pages as a document's pages, each headed by the titles of its bookmarks."""
-    parts = table(spark, folder, "sections").select("document", F.posexplode("page_texts").alias("_i", "_p"), "section_ord", "heading")
+    """The sections' pages as a document's pages, headed by their titles, every third with signs between its words."""
+    title = F.element_at(F.split("heading_path", " > "), -1)
+    shown = F.when(F.col("section_ord") % 3 == 2, F.replace(title, F.lit(" "), F.lit(" - "))).otherwise(title)
+    parts = table(spark, folder, "sections").select("document", F.posexplode("page_texts").alias("_i", "_p"), "section_ord", shown.alias("heading"))
     shown = parts.select("document", F.col("_p.page_number").alias("page"), F.struct("section_ord", "_i", F.concat_ws("\n", F.when(F.col("_i") == 0, F.col("heading")), F.col("_p.text")).alias("text")).alias("_s"))
     whole = shown.groupBy("document", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("_s")), lambda s: s["text"]), "\n").alias("text_lines"))
     return whole.select("document", "page", tx.spaces_normalized(F.col("text_lines")).alias("text_spaced"), "text_lines")

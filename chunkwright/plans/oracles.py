@@ -105,7 +105,8 @@ _TITLES = r"""
 once AS (SELECT DISTINCT document, ord, title, level, page, parent_titles FROM bookmarks),
 named AS (SELECT document, ord, trim(title) AS title, level, coalesce(page, 1) AS page, list_append(coalesce(parent_titles, []), trim(title)) AS path FROM once)"""
 _PAGES = r"""
-shown AS (SELECT document, section_ord, heading, unnest(page_texts) AS p, unnest(range(len(page_texts))) AS i FROM sections),
+titled AS (SELECT *, string_split(heading_path, ' > ')[-1] AS title FROM sections),
+shown AS (SELECT document, section_ord, CASE WHEN section_ord % 3 = 2 THEN replace(title, ' ', ' - ') ELSE title END AS heading, unnest(page_texts) AS p, unnest(range(len(page_texts))) AS i FROM titled),
 paged AS (SELECT document, p.page_number AS page, string_agg(concat_ws(chr(10), CASE WHEN i = 0 THEN heading END, p.text), chr(10) ORDER BY section_ord, i) AS t FROM shown GROUP BY ALL),
 pages AS (SELECT document, page, trim(regexp_replace(t, '\s+', ' ', 'g')) AS s FROM paged)"""
 _PIECES = r"[\s\p{Z}]*(?:[\p{L}\p{M}]+|\p{N}{1,3}|[^\s\p{Z}\p{L}\p{N}]+)|[\s\p{Z}]+"
