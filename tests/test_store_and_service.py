@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from chunkwright.operators.bm25 import bm25_top_k
 from chunkwright.plans.search import NOTHING, contexts
 from chunkwright.plans.service import RetrievalService, Tools
-from chunkwright.schema import CHUNK, Config
+from chunkwright.schema import CHUNK, Config, Scoring
 from chunkwright.sources.pdf import scan, text_parser, words_of
 from chunkwright.sources.store import ChunkStore, from_payload, to_payload, upserted
 from chunkwright.streaming.incremental import upsert_stream
@@ -50,6 +51,67 @@ def test_store(spark, tmp_path):
     assert store.load().count() == 0
 
 
+def files(path):
+    return {p for p in path.rglob("*.parquet") if "current" not in str(p)}
+
+
+def test_changes_write_only_what_they_touch(spark, tmp_path):
+    path = tmp_path / "index"
+    store = ChunkStore(spark, str(path))
+    store.upsert(spark.createDataFrame([chunk(f"{d}{i}", f"{d} text {i}", d) for d in "abcd" for i in range(3)], CHUNK))
+    first = {p for p in files(path / "data")}
+    store.upsert(spark.createDataFrame([chunk("b1", "new", "b"), chunk("e0", "more", "e")], CHUNK))
+    added = files(path / "data") - first
+    assert {p.parent.name for p in added} == {"source_document=b", "source_document=e"} and first <= files(path / "data")
+    assert texts(store.load()) == {f"{d}{i}": f"{d} text {i}" for d in "abcd" for i in range(3)} | {"b1": "new", "e0": "more"}
+    before = files(path / "data")
+    store.delete_document("a")
+    assert files(path / "data") == before and store.load().where("source_document = 'a'").count() == 0
+    store.append(spark.createDataFrame([chunk("x", "late", "c"), chunk("y", "later", None)], CHUNK))
+    assert {p.parent.name for p in files(path / "data") - before} == {"source_document=c", "source_document=__HIVE_DEFAULT_PARTITION__"}
+    everything = texts(store.load())
+    store.compact()
+    assert texts(store.load()) == everything and len({p.parent.parent for p in files(path / "data")}) > 1  # the version before stays
+    store.clear()
+    store.clear()
+    assert not files(path / "data") and store.load().count() == 0
+
+
+@pytest.mark.parametrize("frozen", [False, True])
+def test_stored_postings_answer_as_the_texts_do(spark, tmp_path, frozen):
+    rows = [chunk(f"{i:03}", " ".join("abcdefgh"[j] for j in range(8) if i >> j & 1) or None, f"d{i % 5}") for i in range(120)]
+    store = ChunkStore(spark, str(tmp_path / "index"), frozen=frozen)
+    store.upsert(spark.createDataFrame(rows, CHUNK))
+    queries = spark.createDataFrame([(1, "a h b"), (2, "g zz"), (3, "zz"), (4, None)], "query_id bigint, text string")
+    scoring = Scoring.IDF_SQUARED if frozen else Scoring.CLASSIC
+    ranks = lambda df: sorted((r["query_id"], r["rank"], r["id"], r["score"]) for r in df.collect())
+    assert ranks(bm25_top_k(store.postings(), queries, "id", 5, scoring)) == ranks(bm25_top_k(store.load(), queries, "id", 5, scoring))
+    store.delete_document("d1")
+    store.upsert(spark.createDataFrame([chunk("002", "a a a", "d2"), chunk("new", "g g h", "d9")], CHUNK))
+    live = ranks(bm25_top_k(store.load(), queries, "id", 5, scoring))
+    stored = ranks(bm25_top_k(store.postings(), queries, "id", 5, scoring))
+    assert (live == stored) != frozen  # frozen weights are those of their time
+    plan = bm25_top_k(store.postings(), queries, "id", 5, scoring)._jdf.queryExecution().optimizedPlan().toString()
+    assert "/data" not in plan and "embedding" not in plan
+    store.clear()
+    assert bm25_top_k(store.postings(), queries, "id", 5, scoring).count() == 0
+
+
+def test_a_judge_in_the_service(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    (folder / "one.txt").write_text("# Install\nRun the installer and restart the node.\f# Network\nOpen port 6334 for the gateway.")
+
+    def judge(system, prompt):
+        n = prompt.count("Chunk: ")
+        return "[" + ", ".join(f'{{"id": {i}, "score": {9 if "gateway" in part else 1}}}' for i, part in enumerate(prompt.split("Chunk: ")[1:])) + "]" if n else ""
+
+    service = RetrievalService(ChunkStore(spark, str(tmp_path / "index")), Config(vector_size=64, max_chunk_tokens=30, chunk_overlap_tokens=5), parser=text_parser, judged_by=lambda: judge)
+    service.index(str(folder), "*.txt")
+    found = service.search("which port does the gateway need", 3).collect()
+    assert [(r["section"], r["relevance_score"], r["new_rank"]) for r in found] == [("Network", 9.0, 1)]
+
+
 def test_payload(spark):
     df = spark.createDataFrame([chunk("a"), chunk("b", None, metadata=None, section=None, section_path=None)], CHUNK)
     back = {r["id"]: r for r in from_payload(to_payload(df)).collect()}
