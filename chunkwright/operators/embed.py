@@ -41,6 +41,20 @@ def mean_pooled(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return mean / np.clip(np.sqrt((mean * mean).sum(1, keepdims=True)), 1e-12, None)
 
 
+def pooled_embedder(encode: Callable[[str], Sequence[int]], states: Callable[[np.ndarray, np.ndarray], np.ndarray], limit: int = 512) -> Embedder:
+    """An embedder of a model that gives token states: texts are encoded and cut to ``limit`` tokens, padded with zeros to the longest, and the states (texts x tokens x dimensions) of ``states(ids, mask)`` are averaged over each text's own tokens, at norm 1. A text without tokens gets zeros."""
+
+    def embed(texts: Sequence[str]) -> np.ndarray:
+        tokens = [list(encode(t or ""))[:limit] for t in texts]
+        width = max(1, *map(len, tokens)) if tokens else 1
+        ids, mask = np.zeros((len(tokens), width), np.int64), np.zeros((len(tokens), width), np.int64)
+        for row, own in enumerate(tokens):
+            ids[row, : len(own)], mask[row, : len(own)] = own, 1
+        return mean_pooled(np.asarray(states(ids, mask)), mask).astype(np.float32)
+
+    return embed
+
+
 def embedded(text: Column, load: Callable[[], Embedder], batch: int = 50) -> Column:
     """The text's vector. ``load`` is called once in each Python worker and the model with up to ``batch`` texts at a time, in order; null texts are embedded as empty."""
 

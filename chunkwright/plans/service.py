@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from chunkwright.operators.chunking import Tokenizer, chunk_sections, piece_tokenizer
 from chunkwright.operators.embed import Embedder, embed_chunks, embed_queries, hashing_embedder
-from chunkwright.operators.layout import format_sections
+from chunkwright.operators.layout import format_sections, page_texts
+from chunkwright.operators.outline import outline_sections
 from chunkwright.operators.rerank import Judge, overlap_score
 from chunkwright.plans.search import contexts, search
 from chunkwright.schema import Config
-from chunkwright.sources.pdf import Parser, pdf_parser, scan, words_of
+from chunkwright.session import checkpointed
+from chunkwright.sources.pdf import OutlineParser, Parser, bookmarks_of, pdf_parser, scan, words_of
 from chunkwright.sources.store import ChunkStore
 
 #: Words to sections.
@@ -22,8 +24,9 @@ Strategy = Callable[[DataFrame], DataFrame]
 class RetrievalService:
     """Ties a store, a parser, a strategy, an embedder and a reranker together."""
 
-    def __init__(self, store: ChunkStore, config: Config = Config(), parser: Parser = pdf_parser, strategy: Strategy | None = None, embedder: Callable[[], Embedder] | None = None, score: Callable[[Column, Column], Column] = overlap_score, tokenizer: Tokenizer = piece_tokenizer, judged_by: Callable[[], Judge] | None = None):
-        self.store, self.config, self.parser, self.score, self.tokenizer, self.judged_by = store, config, parser, score, tokenizer, judged_by
+    def __init__(self, store: ChunkStore, config: Config = Config(), parser: Parser = pdf_parser, strategy: Strategy | None = None, embedder: Callable[[], Embedder] | None = None, score: Callable[[Column, Column], Column] = overlap_score, tokenizer: Tokenizer = piece_tokenizer, judged_by: Callable[[], Judge] | None = None, outline: OutlineParser | None = None, root: str | None = None):
+        """``strategy`` makes sections of words. With ``outline``, sections follow the files' bookmarks instead; a file without any gets its sections by ``strategy``. ``root`` is where relative paths begin."""
+        self.store, self.config, self.parser, self.score, self.tokenizer, self.judged_by, self.outline, self.root = store, config, parser, score, tokenizer, judged_by, outline, root
         self.strategy = strategy or (lambda words: format_sections(words, config.max_heading_depth))
         dimensions = config.vector_size
         self.embedder = embedder or (lambda: hashing_embedder(dimensions))
@@ -35,10 +38,21 @@ class RetrievalService:
 
     def index(self, paths: str | list[str], glob: str = "*") -> int:
         """Indexes files, all in one distributed pass, replacing what they had; gives the number of chunks."""
-        words = words_of(scan(self.spark, paths, glob), self.parser)
-        chunks = chunk_sections(self.strategy(words), self.config.max_chunk_tokens, self.config.chunk_overlap_tokens, self.tokenizer)
+        files = scan(self.spark, paths, glob, self.root)
+        words = words_of(files, self.parser)
+        chunks = chunk_sections(self.sections(files, words), self.config.max_chunk_tokens, self.config.chunk_overlap_tokens, self.tokenizer)
         return self.store.replace(embed_chunks(chunks, self.embedder, self.config.embedding_batch))
 
+    def sections(self, files: DataFrame, words: DataFrame) -> DataFrame:
+        """Sections of files and their words."""
+        if self.outline is None:
+            return self.strategy(words)
+        bookmarks = checkpointed(bookmarks_of(files, self.outline))
+        marked = bookmarks.select("document").distinct()
+        words = checkpointed(words)
+        by_outline = outline_sections(bookmarks, page_texts(words.join(marked, "document", "left_semi")), self.config.max_heading_depth)
+        return by_outline.unionByName(self.strategy(words.join(marked, "document", "left_anti")).select(*by_outline.columns))
+
     def search_table(self, queries: DataFrame, k: int | None = None) -> DataFrame:
         """Results of a table of queries (query_id, text)."""
         asked = embed_queries(queries, self.embedder)

@@ -1,11 +1,13 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from chunkwright.operators.bm25 import bm25_top_k
+from chunkwright.operators.embed import pooled_embedder
 from chunkwright.plans.search import NOTHING, contexts
 from chunkwright.plans.service import RetrievalService, Tools
 from chunkwright.schema import CHUNK, Config, Scoring
-from chunkwright.sources.pdf import scan, text_parser, words_of
+from chunkwright.sources.pdf import color_key_of, scan, text_outline, text_parser, words_of
 from chunkwright.sources.store import ChunkStore, from_payload, to_payload, upserted
 from chunkwright.streaming.incremental import upsert_stream
 
@@ -112,6 +114,29 @@ def test_a_judge_in_the_service(spark, tmp_path):
     assert [(r["section"], r["relevance_score"], r["new_rank"]) for r in found] == [("Network", 9.0, 1)]
 
 
+def test_sections_by_the_outline_of_files(spark, tmp_path):
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "one.txt").write_text("Cover\n# Install\nRun the installer.\n## Restart\nRestart the node.\f# Network\nOpen port 6334.")
+    (tmp_path / "files" / "two.txt").write_text("No headings here, only text.")
+    service = RetrievalService(ChunkStore(spark, str(tmp_path / "index")), Config(vector_size=64), parser=text_parser, outline=text_outline, root=str(tmp_path))
+    service.index("files", "*.txt")
+    got = {(r["source_document"], r["section_path"]): r["text"] for r in service.store.load().collect()}
+    assert got[("one.txt", "Install")].startswith("Run the installer") and got[("one.txt", "Install > Restart")] == "Restart the node." and got[("one.txt", "Network")] == "Open port 6334."
+    assert [t for (d, _), t in got.items() if d == "two.txt"] == ["No headings here, only text."]
+    with pytest.raises(FileNotFoundError):
+        service.index("none")
+
+
+def test_colours_of_parsers():
+    assert [color_key_of(c) for c in (0, (0.5,), (1, 0, 0.25), [0, 0, 0, 1], None, ("/P1",), (1, 2))] == ["gray_0.00", "gray_0.50", "1.00_0.00_0.25", "cmyk_0.00_0.00_0.00_1.00", "default", "default", "default"]
+
+
+def test_pooled_models():
+    states = lambda ids, mask: np.stack([ids, ids * 0 + 1], -1).astype(float)
+    out = pooled_embedder(lambda t: [len(w) for w in t.split()], states, limit=2)(["aaa a zzzzzzzzz", "", None, "aa"])
+    assert np.allclose(out[0], np.array([2, 1]) / 5**0.5) and (out[1:3] == 0).all() and np.allclose(out[3], np.array([2, 1]) / 5**0.5)
+
+
 def test_payload(spark):
     df = spark.createDataFrame([chunk("a"), chunk("b", None, metadata=None, section=None, section_path=None)], CHUNK)
     back = {r["id"]: r for r in from_payload(to_payload(df)).collect()}
