@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkwright.llm import sql
 from chunkwright.llm.canonical import canonicalize, same_reading
 from chunkwright.llm.freq import term_frequencies
-from chunkwright.llm.knn import nearest, similar_pairs
+from chunkwright.llm.knn import HALF_ERROR, K, nearest, similar_pairs
 from chunkwright.llm.lines import frequent_lines, prefix_span, repeated_lines, without_repeated_lines
 from chunkwright.llm.mixing import mix, mix_report, mixed_tokens
 from chunkwright.llm.neardup import NearDuplicates
@@ -18,6 +18,7 @@ from chunkwright.llm.packing import containers, pack, packed_texts
 from chunkwright.llm.pairs import class_pairs
 from chunkwright.llm.split import split_chunks, split_oversized
 from chunkwright.llm.terms import log_entropy
+from chunkwright.operators.dense import dense_top_k
 from chunkwright.operators.skew import with_key_totals
 from chunkwright.session import checkpointed
 
@@ -38,6 +39,19 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("chunk_no", "source_document", "section_path", "chunk_index", "chunk_total", "piece_index", "piece_total", "added_start", "text")
 
 
+def p1_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each row, whether its pieces are within the limit and numbered through, share what they should, and give its text again without what they share."""
+    chunks = _table(spark, folder, "chunks").select("chunk_no", "text")
+    pieces = split_oversized(chunks.where("text IS NOT NULL"))
+    after = Window.partitionBy("chunk_no").orderBy("piece_index")
+    shared = F.octet_length(F.expr("substring(text, 1, added_start - piece_start)"))
+    marked = pieces.select("chunk_no", "piece_index", "piece_total", F.octet_length("text").alias("_size"), shared.alias("_shared"), F.row_number().over(after).alias("_n"), F.expr("substring(text, added_start - piece_start + 1)").alias("_added"))
+    fits = (F.col("_size") <= 1600) & (F.col("_n") == F.col("piece_index") + 1) & F.when(F.col("piece_index") == 0, F.col("_shared") == 0).otherwise(F.col("_shared").between(200, 203))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_index", "_added"))), lambda p: p["_added"]), "")
+    whole = marked.groupBy("chunk_no").agg(F.bool_and(fits).alias("fits"), (F.count("*") == F.max("piece_total")).alias("numbered"), joined.alias("_joined"))
+    return chunks.join(whole, "chunk_no").select("chunk_no", F.octet_length("text").cast("bigint").alias("n_bytes"), "fits", "numbered", (F.col("_joined") == F.col("text")).alias("whole"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     scored = log_entropy(_table(spark, folder, "chunks").select("chunk_no", "text"))
     return scored.where("tf >= 4 AND df BETWEEN 2 AND 12 AND score IS NOT NULL").select("chunk_no", "term")
@@ -58,6 +72,17 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return near.select(F.col("key").alias("chunk_no"), F.col("neighbour").alias("neighbour_no"), F.round("cosine", 3).alias("cosine"), "rank")
 
 
+def p3_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: the searches whose id is divisible by 100, and whether nine tenths of their neighbours by brute force are as good as found."""
+    chunks = _table(spark, folder, "chunks").select("chunk_no", "embedding")
+    asked = chunks.where("chunk_no % 100 = 0").select(F.col("chunk_no").alias("query_id"), F.col("embedding").alias("vec"))
+    exact = dense_top_k(chunks, asked, "chunk_no", K + 1).where("query_id != chunk_no").withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("_n") <= K)
+    least = checkpointed(exact.groupBy("query_id").agg(F.min("score").alias("_least"), F.count("*").alias("_wanted")))
+    found = nearest(chunks).where("key % 100 = 0").join(least, F.col("key") == F.col("query_id")).where(F.col("cosine") >= F.col("_least") - HALF_ERROR)
+    hits = checkpointed(found.groupBy("query_id").agg(F.least(F.count("*"), F.first("_wanted")).alias("_hits")))
+    return least.join(hits, "query_id", "left").agg(F.count("*").alias("queries"), (F.sum(F.coalesce("_hits", F.lit(0))) >= 0.9 * F.sum("_wanted")).alias("enough"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     found = NearDuplicates(_table(spark, folder, "chunks").select("chunk_no", "text")).pairs()
     return found.select(F.col("a").alias("chunk_no_a"), F.col("b").alias("chunk_no_b"))

