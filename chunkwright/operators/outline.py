@@ -73,11 +73,15 @@ def same_place(spaced: str, lined: str, at: int) -> int:
     """The place in ``lined`` that has as many characters of ink before it as ``at`` has in ``spaced``: right behind the last of them."""
     if at <= 0 or not spaced or not lined:
         return max(at, 0)
-    ink = sum(not c.isspace() for c in spaced[:at])
+    ink = len("".join(spaced[:at].split()))
     if not ink:
         return 1
-    places = [m.end() for m in regex.finditer(r"\S", lined)]
-    return places[ink - 1] if ink <= len(places) else len(lined)
+    seen = 0
+    for m in regex.finditer(r"\S+", lined):
+        if seen + m.end() - m.start() >= ink:
+            return m.start() + ink - seen
+        seen += m.end() - m.start()
+    return len(lined)
 
 
 def flattened(bookmarks: DataFrame, max_depth: int = 1, skip_pages: int = 0) -> DataFrame:

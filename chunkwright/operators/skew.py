@@ -16,13 +16,24 @@ PARTITION_BYTES = 64 << 20
 MOST_PARTITIONS = 200_000
 
 
-def partitions_for(df: DataFrame, growth: float = 1.0) -> int:
-    """Partitions for a shuffle of ``growth`` times the bytes of the tables that ``df`` reads: the session's number, or more where that would make them larger than PARTITION_BYTES. What Spark can't tell the size of doesn't count."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` reads, as Spark estimates them; what it can't tell the size of doesn't count."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
-    known = sum(n for n in sizes if n < 1 << 60)
-    return max(least, min(MOST_PARTITIONS, math.ceil(known * growth / PARTITION_BYTES)))
+    return sum(n for n in sizes if n < 1 << 60)
+
+
+def partitions_for(df: DataFrame, growth: float = 1.0) -> int:
+    """Partitions for a shuffle of ``growth`` times the bytes of the tables that ``df`` reads: the session's number, or more where that would make them larger than PARTITION_BYTES."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(MOST_PARTITIONS, math.ceil(input_bytes(df) * growth / PARTITION_BYTES)))
+
+
+def spread_if_few(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt to the session's partitions by ``key`` if its tables are so small that they are read in fewer tasks than there are cores; larger ones stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = input_bytes(df) < cores * (128 << 20)
+    return df.repartition(key) if few else df
 
 
 def _dealt(df: DataFrame, keys: Sequence[str], spread: str, salts: int | None, partitions: int | None) -> DataFrame:

@@ -240,8 +240,8 @@ class StoredPostings(TextPostings):
         self.totals = store._live("totals", TOTALS)
 
     def postings(self, wanted: DataFrame) -> DataFrame:
-        found = self.rows.join(F.broadcast(wanted), "term", "left_semi")
-        columns = ["id", F.col("id").alias("key"), "term", "tf", "length", *(["weight"] if self.frozen else [])]
+        found = self.rows.join(F.broadcast(wanted), "term")
+        columns = ["id", F.col("id").alias("key"), "no", "tf", "length", *(["weight"] if self.frozen else [])]
         return found.select(*columns).repartition("id").sortWithinPartitions("id")
 
     def statistics(self, wanted: DataFrame) -> tuple[dict[str, int], int, float]:
